@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontamination, quality
+from tidelog.llm import decontamination, quality, secrets
 from tidelog.llm.shared import read
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
@@ -18,7 +22,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op6_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_benchmark_decontamination, op6_quality_classifier)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {}
