@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontamination, language, quality, secrets
+from tidelog.llm import bpe, decontamination, language, quality, secrets
 from tidelog.llm.shared import read
 
 
@@ -22,12 +22,16 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_benchmark_decontamination, op6_quality_classifier, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_benchmark_decontamination, op6_quality_classifier, op7_bpe, op9_language_id)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {}
