@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontamination, language, quality, secrets
+from tidelog.llm import bpe, decontamination, language, neardup, quality, secrets
 from tidelog.llm.shared import read
 
 
@@ -26,12 +26,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_benchmark_decontamination, op6_quality_classifier, op7_bpe, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_benchmark_decontamination, op6_quality_classifier, op7_bpe, op8_minhash_near_dedup, op9_language_id)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {}
