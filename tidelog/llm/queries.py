@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontamination, language, neardup, quality, secrets
+from tidelog.llm import bpe, decontamination, language, neardup, quality, secrets, topk
 from tidelog.llm.shared import read
 
 
@@ -12,6 +12,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
@@ -35,7 +40,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_benchmark_decontamination, op6_quality_classifier, op7_bpe, op8_minhash_near_dedup, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_top_k, op4_benchmark_decontamination, op6_quality_classifier, op7_bpe, op8_minhash_near_dedup, op9_language_id)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        scored AS (
+          SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        ranked AS (
+          SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+}
