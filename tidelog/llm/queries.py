@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontamination, language, neardup, quality, secrets, topk
+from tidelog.llm import bpe, decontamination, language, licenses, neardup, quality, secrets, topk
 from tidelog.llm.shared import read
 
 
@@ -12,6 +12,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
@@ -40,7 +44,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_top_k, op4_benchmark_decontamination, op6_quality_classifier, op7_bpe, op8_minhash_near_dedup, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_exact_top_k, op4_benchmark_decontamination, op6_quality_classifier, op7_bpe, op8_minhash_near_dedup, op9_language_id)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {
