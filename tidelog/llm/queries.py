@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontamination, language, licenses, neardup, quality, secrets, topk
+from tidelog.llm import bpe, decontamination, language, licenses, neardup, quality, secrets, surrogates, topk
 from tidelog.llm.shared import read
 
 
@@ -44,7 +44,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_exact_top_k, op4_benchmark_decontamination, op6_quality_classifier, op7_bpe, op8_minhash_near_dedup, op9_language_id)}
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_exact_top_k, op4_benchmark_decontamination, op6_quality_classifier, op7_bpe, op8_minhash_near_dedup, op9_language_id, op10_pii_surrogates)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {
