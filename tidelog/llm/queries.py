@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontamination, language, licenses, neardup, quality, secrets, surrogates, topk
+from tidelog.llm import bpe, decontamination, language, licenses, neardup, quality, secrets, substrings, surrogates, topk
 from tidelog.llm.shared import read
 
 
@@ -26,6 +26,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.removed(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.scores(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -48,7 +53,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_exact_top_k, op4_benchmark_decontamination, op6_quality_classifier, op7_bpe, op8_minhash_near_dedup, op9_language_id, op10_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_exact_top_k, op4_benchmark_decontamination, op5_substring_dedup, op6_quality_classifier, op7_bpe, op8_minhash_near_dedup, op9_language_id, op10_pii_surrogates)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {
