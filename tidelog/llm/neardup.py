@@ -40,6 +40,8 @@ SLACK = 6.0
 #: Members of a bucket in one stream, and in one block of step 5.
 STREAM, BLOCK = 256, 256
 _LAST = (1 << 63) - 1
+#: Bits of the filter that keeps texts which no candidate needs out of the shuffle; 4 MB when full.
+FILTER_BITS = 1 << 25
 
 
 def _parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +66,10 @@ def shingles(column: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """The least value of each universal hash over each set, as a row of HASHES numbers; empty sets give zeros."""
+    """The least value of each universal hash over each set, as a row of HASHES numbers; empty sets give zeros.
+
+    Equal sets give equal rows. Of each number one byte is kept beside the band keys: that can only raise agreement.
+    """
     out = np.zeros((len(sets), HASHES), np.uint32)
     some = [i for i, s in enumerate(sets) if len(s)]
     if some:
@@ -113,16 +118,25 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str, carry: bo
                 bands = _bands(sign_)
                 ends = np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[n > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), pa.array(key1), pa.array(key2), pa.array([x.tobytes() for x in sign_], pa.binary()), lists], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), pa.array(key1), pa.array(key2), pa.array([x.tobytes() for x in sign_.astype(np.uint8)], pa.binary()), lists], names=names)
 
     return settle(rows.mapInArrow(sign, kind), "signatures")
 
 
+def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose rid is wanted, and few others: a bitmap of fixed size, by broadcast, spares the rest the shuffle of the join that follows."""
+    place = F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS))
+    bits = wanted.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bit = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("part")).where(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).drop("part", "bits")
+
+
 def _star_links(pairs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
     """Of (centre, rid) pairs, those whose sets are alike."""
     least = _least_equal(percent)
     sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("streams"))
-    texts = signed.select("rid", "minima", "text")
+    texts = _only(signed.select("rid", "minima", "text"), pairs.select("rid").unionAll(pairs.select(F.col("centre").alias("rid"))))
     member = pairs.join(sizes, "centre").join(texts, "rid").select("centre", F.pmod(F.xxhash64("rid"), F.col("streams")).cast("int").alias("stream"), F.lit(1).alias("kind"), "rid", "minima", "text")
     centre = sizes.withColumn("stream", F.explode(F.sequence(F.lit(0), F.col("streams") - 1))).join(texts, F.col("centre") == F.col("rid")).select("centre", "stream", F.lit(0).alias("kind"), "rid", "minima", "text")
     rows = centre.unionAll(member).repartition("centre", "stream").sortWithinPartitions("centre", "stream", "kind")
@@ -132,7 +146,7 @@ def _star_links(pairs: DataFrame, signed: DataFrame, size: int, percent: int) ->
         for batch in batches:
             for part in steps(batch, "text"):
                 kinds, centres, rids = (part.column(c).to_pylist() for c in ("kind", "centre", "rid"))
-                sign_ = np.frombuffer(b"".join(part.column("minima").to_pylist()), np.uint32).reshape(len(kinds), HASHES)
+                sign_ = np.frombuffer(b"".join(part.column("minima").to_pylist()), np.uint8).reshape(len(kinds), HASHES)
                 wanted, marks = [], []
                 for i, kind in enumerate(kinds):
                     if kind == 0:
@@ -157,7 +171,7 @@ def _block_links(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
     def search(group: dict) -> list[tuple[int, int]]:
         n, root, block = (np.array(group[c], np.int64) for c in ("n", "root", "block"))
-        sign_ = np.frombuffer(b"".join(group["minima"]), np.uint32).reshape(len(n), HASHES)
+        sign_ = np.frombuffer(b"".join(group["minima"]), np.uint8).reshape(len(n), HASHES)
         bands = np.array(group["bands"], np.int64)
         band = int(np.flatnonzero(bands[0] == group["bucket"][0])[0])
         cross = group["low"][0] != group["high"][0]
@@ -223,14 +237,17 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "
     banded = settle(stands.select("rid", F.explode("bands").alias("bucket")), "bands")
 
     buckets = banded.groupBy("bucket").agg(F.min("rid").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    pairs = settle(banded.join(buckets, "bucket").where("rid != centre").select("centre", "rid").distinct(), "pairs")
+    shared = settle(banded.join(buckets, "bucket"), "shared")
+    pairs = settle(shared.where("rid != centre").select("centre", "rid").distinct(), "pairs")
     roots = components(_star_links(pairs, signed, size, percent))
 
-    named = banded.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", F.coalesce("root", "rid").alias("root"))
-    mixed = named.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("members > 2 AND r1 != r2").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    blocked = named.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = blocked.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rid", "root", "block")
-    more = settle(_block_links(blocked.join(signed.select("rid", "n", "minima", "bands", "text"), "rid"), size, percent), "links")
+    named = shared.where("members > 2").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "members", "rid", F.coalesce("root", "rid").alias("root"))
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket")
+    blocked = named.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = settle(blocked.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rid", "root", "block"), "blocks")
+    texts = _only(signed.select("rid", "n", "minima", "bands", "text"), blocked.select("rid"))
+    more = settle(_block_links(blocked.join(texts, "rid"), size, percent), "links")
     if not more.isEmpty():
         upper = components(more)
         every = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
