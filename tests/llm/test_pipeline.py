@@ -4,7 +4,7 @@ import corpus_pipeline
 from tests.llm.test_bpe import LIBRARY
 from tests.llm.test_decontamination import words
 from tests.llm.test_neardup import brute
-from tidelog.llm import quality, secrets
+from tidelog.llm import quality, secrets, shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +25,9 @@ def test_stages_match_brute_force(spark):
     docs = [(d, t) for d, t in docs if clean(words(t))]
     field = secrets.default_field()
     docs = [(d, secrets._without(t, secrets.all_spans(t, field))) for d, t in docs]
+    mark = shared.settled()
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
+    assert shared.settled() == mark + 1
     assert got == {d: LIBRARY.encode(t, add_special_tokens=False).ids for d, t in docs}
     assert 0 < len(got) < table.count()
 

@@ -23,16 +23,36 @@ def shared_dir(spark: SparkSession) -> str:
     return (name or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages").rstrip("/")
 
 
+#: Tables that this process has settled and not released, oldest first.
+_settled: list[str] = []
+
+
 def settle(df: DataFrame, what: str) -> DataFrame:
     """Writes an intermediate result as Parquet to the shared folder and reads it again, so that its lineage ends there.
 
-    A lost executor loses nothing of it, and each use reads it instead of computing it again.
+    A lost executor loses nothing of it, and each use reads it instead of computing it again. The tables stay until
+    they are released, as a result may still be read from them.
     """
     path = f"{shared_dir(df.sparkSession)}/tidelog/{what}-{uuid.uuid4().hex}"
+    _settled.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled() -> int:
+    """How many tables wait to be released: a mark for ``release``."""
+    return len(_settled)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables settled since a mark, but for the newest ``keep``. For when no result is read from them any more."""
+    gone = _settled[since : len(_settled) - keep]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _settled.remove(path)
+
+
 def fold_of(id_col: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
