@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import bpe, decontamination, neardup, quality, secrets
-from tidelog.llm.shared import read, settle
+from tidelog.llm.shared import read, release, settle, settled
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """Applies the stages to documents. What a stage has settled goes once its result is written, the result once the next one is."""
+    docs, mark = read(spark, sf_dir, "documents"), settled()
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), name)
+        release(spark, mark, keep=1)
     return docs
