@@ -55,7 +55,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     chars = by.sum(axis=1)
     c, w = np.maximum(chars, 1), np.maximum(words.count, 1)
     doc, h = words.doc, words.hashes()
-    repeat = np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=n) if len(h) else np.zeros(n)
+    repeat = [np.bincount(doc[k:][(h[k:] == h[:-k]) & (doc[k:] == doc[:-k])], minlength=n) for k in (1, 2)]
     distinct, most = np.zeros(n), np.zeros(n)
     if len(h):
         order = np.lexsort((h, doc))
@@ -73,7 +73,8 @@ def statistics(column: pa.Array) -> np.ndarray:
         np.sqrt(by[:, 3] / c),
         np.sqrt(by[:, 2] / c),
         np.sqrt(by[:, 5] / w),
-        np.sqrt(repeat / w),
+        np.sqrt(repeat[0] / w),
+        np.sqrt(repeat[1] / w),
         np.sqrt(most / w),
         np.log1p(distinct) / np.log1p(w),
         np.sqrt(by[:, 8] / c),
