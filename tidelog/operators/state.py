@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that an entry costs beyond its key and value.
 ENTRY_BYTES = 16
-#: Request lists up to this many rows may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Request lists of up to this estimated size are broadcast to prune the log before it is merged.
+BROADCAST_BYTES = 8 << 20
 
 
 def newest(log: DataFrame, *keys: str) -> DataFrame:
@@ -40,28 +40,29 @@ def get(log: DataFrame, key: str) -> DataFrame:
     return spark.createDataFrame([(key,)], "k string").join(F.broadcast(found), "k", "left")
 
 
-def _answering(wanted: DataFrame, live: DataFrame, how: str) -> DataFrame:
-    """Joins a request list with live state; a short list is broadcast to prune the state's scan first."""
-    n = wanted.limit(BROADCAST_ROWS + 1).count()
-    if n <= BROADCAST_ROWS:
-        live = live.join(F.broadcast(wanted.select("k").distinct()), "k", "left_semi")
-    return wanted.join(live, "k", how)
+def _fits(rows: DataFrame) -> bool:
+    """Whether the optimizer's own estimate, from file sizes, allows a broadcast. Costs no job."""
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BROADCAST_BYTES
 
 
-def multi_get(log: DataFrame, wanted: DataFrame) -> DataFrame:
-    """pos, k, v of each request, duplicates and misses kept. Only requested keys are merged."""
-    n = wanted.limit(BROADCAST_ROWS + 1).count()
-    if n <= BROADCAST_ROWS:
+def _asked(log: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Live state, of the requested keys only where their list is short."""
+    if _fits(wanted):
         log = log.join(F.broadcast(wanted.select("k").distinct()), "k", "left_semi")
-    return wanted.join(latest(log).select("k", "v"), "k", "left").select("pos", "k", "v")
+    return latest(log).select("k", "v")
+
+
+def multi_get(log: DataFrame, wanted: DataFrame) -> DataFrame:
+    """pos, k, v of each request, duplicates and misses kept."""
+    return wanted.join(_asked(log, wanted), "k", "left").select("pos", "k", "v")
 
 
 def present(log: DataFrame, wanted: DataFrame) -> DataFrame:
-    return _answering(wanted, latest(log), "left_semi").select("pos", "k")
+    return wanted.join(_asked(log, wanted), "k", "left_semi").select("pos", "k")
 
 
 def absent(log: DataFrame, wanted: DataFrame) -> DataFrame:
-    return _answering(wanted, latest(log), "left_anti").select("pos", "k")
+    return wanted.join(_asked(log, wanted), "k", "left_anti").select("pos", "k")
 
 
 def multi_set(log: DataFrame, batch: DataFrame) -> DataFrame:
