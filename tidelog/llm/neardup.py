@@ -39,6 +39,8 @@ HASHES = BANDS * ROWS
 SLACK = 6.0
 #: Members of a bucket in one stream, and in one block of step 5.
 STREAM, BLOCK = 256, 256
+#: Parts that a bucket's members are dealt to where they meet the list of mixed buckets.
+SALTS = 16
 _LAST = (1 << 63) - 1
 #: Bits of the filter that keeps texts which no candidate needs out of the shuffle; 4 MB when full.
 FILTER_BITS = 1 << 25
@@ -243,7 +245,9 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "
 
     named = shared.where("members > 2").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "members", "rid", F.coalesce("root", "rid").alias("root"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket")
-    blocked = named.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS))
+    mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    blocked = named.withColumn("salt", salt).join(mixed, ["bucket", "salt"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     blocked = blocked.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocked = settle(blocked.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rid", "root", "block"), "blocks")
     texts = _only(signed.select("rid", "n", "minima", "bands", "text"), blocked.select("rid"))
