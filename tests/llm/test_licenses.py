@@ -59,3 +59,24 @@ def test_table(spark):
     got = {r.doc_id: tuple(r)[1:] for r in L.scan(docs).collect()}
     assert got == {r.doc_id: brute(r.text) for r in docs.collect()}
     assert sum(x[1] for x in got.values()) >= 30
+
+
+WRAPPED = {
+    "MIT": "// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the \"Software\"), to deal\n// in the Software without restriction, including without limitation the rights\n// to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n// copies of the Software, and to permit persons to whom the Software is\n// furnished to do so, subject to the following conditions:\n//\n// Other text.",
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Copies retain this list.",
+    "GPL": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint main() {}",
+    "MPL-2.0": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/.\nimport os",
+    "Apache-2.0": "Some prose here.\nDistributed under Apache 2.0.",
+    "Proprietary": "Copyright.\nAll rights reserved.\nUnauthorized copying of this\nfile is strictly prohibited.",
+}
+
+
+def test_wrapped_notices_and_notices_without_a_licensing_word(spark, frame):
+    cases = [*WRAPPED.items(), ("GPL", "It is available under GPLv3."), ("", "no such\nnotice here\n" * 3), ("MIT", "- Released under the MIT License\n- other words\n- more words")]
+    rows = L.scan(frame([(i, t) for i, (_, t) in enumerate(cases)])).collect()
+    assert {r.doc_id: (r.families, r.n_confirmed) for r in rows} == {i: (f, int(f != "")) for i, (f, _) in enumerate(cases)}
+
+
+def test_gate_covers_every_template():
+    for _, own in L._templates():
+        assert sum(not re.search(L.GATE, g) for g in own) < L.CONFIRM * len(own)

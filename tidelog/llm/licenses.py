@@ -1,7 +1,13 @@
 """License scan: a trained paragraph classifier, in DataFrame operations only.
 
-A paragraph is a line that names a licensing word. Its distinct word 1- to
-3-grams, each weighing one over the root of their number, feed a multinomial
+A paragraph is a line that names a licensing word, or one without that the
+model knows as some family's, or a hard-wrapped notice: lines up to one that
+ends a sentence (a piece) or up to a blank one (a block; lines of marks alone,
+as in comments, are blank). A piece that is confirmed, while none of its lines
+is by itself, is one paragraph in place of its lines; a piece or block that
+confirms a family that nothing within it does counts beside them. Nothing is
+cut before the model but texts without a word of ``GATE``, which cannot hold
+half of any template. The distinct word 1- to 3-grams of a line, piece or block, each weighing one over the root of their number, feed a multinomial
 logistic regression over licence families and an unknown class, fitted on the
 driver from the notices below and generated negatives, with a temperature
 calibrated on generated held-out lines. A prediction is confirmed if the
@@ -11,7 +17,7 @@ The model is a small table (a row for each n-gram of the training lines, some
 thousands, whatever the corpus) joined by broadcast; sums per paragraph and
 then per document are aggregates with partial sums.
 
-Defined results: null and empty texts, and texts without a licensing word,
+Defined results: null and empty texts, and texts without a word of ``GATE``,
 have no paragraphs and zero counts; each repeated row gets its row; all lines
 of long texts are read; an empty table gives an empty result; ties between
 families go to the first in order.
@@ -25,7 +31,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -33,6 +39,7 @@ UNKNOWN = "unknown"
 NOTICES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
+        "Distributed under Apache 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
@@ -49,6 +56,7 @@ NOTICES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GNU GPL v2 or later.",
+        "Available under GPLv3.",
     ],
     "LGPL": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.", "Licensed under the GNU LGPL version 2.1."],
     "MIT": [
@@ -66,12 +74,14 @@ NEGATIVES = [
     "The copyright office opened a new branch.", "They argued about copyright in the court for years.", "The public domain of a function is its set of inputs.", "Permission to land was granted late.", "His fishing licence had expired.", "Licensed premises must close at midnight.",
 ]
 FAMILIES = [*sorted(NOTICES), UNKNOWN]
-#: A paragraph is a line in which this is found.
+#: A line in which this is found is a paragraph whatever the model says.
 NAMED = r"(?i)licen[cs]|copyright|warrant|redistribut|public domain|creative commons|\bcc0\b|\bcc by|all rights reserved|permission is hereby"
 #: Least share of a template's 3-grams in a paragraph that confirms its family.
 CONFIRM = 0.5
 #: Least calibrated probability of a family; below it a paragraph is unknown.
 LEAST = 0.5
+#: Line breaks before a line without a letter or digit, and after a sentence.
+BLANK, ENDED = r"\n[^\p{L}\p{N}\n]*+(?=\n)", r"(?<=[.!?:])[^\p{L}\p{N}.!?:\n]*+\n"
 
 
 def _words(line: str) -> list[str]:
@@ -82,12 +92,30 @@ def grams(words: list[str]) -> list[str]:
     return sorted({" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)})
 
 
+def _templates() -> list[tuple[str, set[str]]]:
+    return [(f, {g for g in grams(_words(t)) if g.count(" ") == 2} or set(grams(_words(t)))) for f in FAMILIES[:-1] for t in NOTICES[f]]
+
+
+def gate_words() -> list[str]:
+    """Words such that a text without any of them holds less than ``CONFIRM`` of each template: long ones first, then those that settle most."""
+    chosen: set[str] = set()
+    for _, own in sorted(_templates(), key=lambda x: len(x[1])):
+        while len(left := [g for g in own if not chosen & set(g.split(" "))]) >= CONFIRM * len(own):
+            seen = Counter(w for g in left for w in set(g.split(" ")))
+            chosen.add(max(seen, key=lambda w: (len(w) >= 5, seen[w], w)))
+    return sorted(chosen)
+
+
+#: What a text holds that has a paragraph: a licensing word or a word of the gate.
+GATE = rf"{NAMED}|(?<![a-z0-9])(?:{'|'.join(map(re.escape, gate_words()))})(?![a-z0-9])"
+
+
 class Model:
     """Weights of each n-gram for each family, biases, temperature and templates."""
 
     def __init__(self, weights: dict[str, list[float]], bias: list[float], temperature: float):
         self.weights, self.bias, self.temperature = weights, bias, temperature
-        self.templates = [(f, {g for g in grams(_words(t)) if g.count(" ") == 2} or set(grams(_words(t)))) for f in FAMILIES[:-1] for t in NOTICES[f]]
+        self.templates = _templates()
 
     def table(self) -> list[tuple]:
         return [(g, [float(x) for x in w], [int(g in t) for _, t in self.templates]) for g, w in sorted(self.weights.items())]
@@ -154,20 +182,24 @@ def _grams_column(words):
 
 
 def paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """One row a paragraph that names a licensing word (one of nulls for a document without): rid, doc_id, line, family, probability, share, confirmed."""
+    """One row a paragraph, and rows of nulls for what is none (at least one row a document): rid, doc_id, block, piece (null for a whole block), line (null for several lines), family, probability, share, confirmed."""
     model, spark = model or default_model(), docs.sparkSession
     k, t = len(FAMILIES), len(model.templates)
     table = spark.createDataFrame(model.table(), "gram string, w array<double>, t array<int>").select("gram", *(F.col("w")[i].alias(f"w{i}") for i in range(k)), *(F.col("t")[i].alias(f"t{i}") for i in range(t)))
     text = F.col("text")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = F.when(text.rlike(NAMED), F.split(text, "\n"))
-    rows = rows.select("rid", "doc_id", F.posexplode_outer(lines).alias("line", "said"))
-    rows = rows.where(F.col("said").isNull() | F.col("said").rlike(NAMED))
+    rows = rows.select("rid", "doc_id", F.posexplode_outer(F.when(text.rlike(GATE), F.split(text, BLANK))).alias("block", "text")).where(text.isNull() | text.rlike(GATE))
+    unit = lambda piece, line, said: F.struct(F.lit(piece).cast("int").alias("piece") if piece is None else piece.alias("piece"), F.lit(line).cast("int").alias("line") if line is None else line.alias("line"), said.alias("said"))
+    several = lambda parts, whole: F.when(F.size(parts) > 1, F.array(whole)).otherwise(F.array().cast("array<struct<piece:int,line:int,said:string>>"))
+    of_piece = lambda p, i: F.concat(several(F.split(p, "\n"), unit(i, None, p)), F.transform(F.split(p, "\n"), lambda l, j: unit(i, j, l)))
+    units = F.concat(several(F.col("pieces"), unit(None, None, text)), F.flatten(F.transform("pieces", of_piece)))
+    rows = rows.withColumn("pieces", F.split(text, ENDED)).select("rid", "doc_id", "block", F.explode_outer(F.filter(units, lambda u: u["said"].rlike(GATE))).alias("unit")).select("rid", "doc_id", "block", "unit.*")
+    rows = rows.withColumn("named", F.col("said").rlike(NAMED))
     words = F.filter(F.split(F.regexp_replace(F.lower("said"), r"[^a-z0-9.]+|\.(?![0-9])", " "), " "), lambda w: w != "")
-    rows = rows.withColumn("words", words).withColumn("grams", _grams_column(F.col("words"))).select("rid", "doc_id", "line", F.size("grams").alias("n"), F.explode_outer("grams").alias("gram"))
-    sums = rows.join(F.broadcast(table), "gram", "left").groupBy("rid", "doc_id", "line", "n").agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(k)), *(F.sum(f"t{i}").alias(f"t{i}") for i in range(t)))
+    rows = rows.withColumn("words", words).withColumn("grams", _grams_column(F.col("words"))).select("rid", "doc_id", "block", "piece", "line", "named", F.size("grams").alias("n"), F.explode_outer("grams").alias("gram"))
+    sums = rows.join(F.broadcast(table), "gram", "left").groupBy("rid", "doc_id", "block", "piece", "line", "named", "n").agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(k)), *(F.sum(f"t{i}").alias(f"t{i}") for i in range(t)))
     logits = [(F.lit(model.bias[i]) + F.coalesce(f"w{i}", F.lit(0.0)) / F.sqrt(F.greatest("n", F.lit(1)))) / model.temperature for i in range(k)]
-    sums = sums.select("rid", "doc_id", "line", *(x.alias(f"z{i}") for i, x in enumerate(logits)), *(f"t{i}" for i in range(t)))
+    sums = sums.select("rid", "doc_id", "block", "piece", "line", "named", *(x.alias(f"z{i}") for i, x in enumerate(logits)), *(f"t{i}" for i in range(t)))
     top = F.greatest(*(f"z{i}" for i in range(k)))
     total = sum((F.exp(F.col(f"z{i}") - F.col("top")) for i in range(1, k)), F.exp(F.col("z0") - F.col("top")))
     best = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position(F.array(*(F.col(f"z{i}") for i in range(k))), F.col("top")).cast("int"))
@@ -176,8 +208,15 @@ def paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         share = F.greatest(share, F.when(F.col("best") == f, F.coalesce(f"t{j}", F.lit(0)) / len(own)).otherwise(0.0))
     found = sums.withColumn("top", top).withColumn("best", best).withColumn("probability", 1 / total)
     found = found.withColumn("family", F.when(F.col("probability") >= LEAST, F.col("best")).otherwise(UNKNOWN)).withColumn("share", share)
-    named = F.col("line").isNotNull()
-    return found.select("rid", "doc_id", "line", *(F.when(named, F.col(c)).alias(c) for c in ("family", "probability", "share")), (named & (F.col("family") != UNKNOWN) & (F.col("share") >= CONFIRM)).alias("confirmed"))
+    found = found.withColumn("sure", F.col("block").isNotNull() & (F.col("family") != UNKNOWN) & (F.col("share") >= CONFIRM))
+    is_line, is_piece = F.col("line").isNotNull(), F.col("line").isNull() & F.col("piece").isNotNull()
+    within = lambda which, *by: F.collect_set(F.when(which & F.col("sure"), F.col("family"))).over(Window.partitionBy("rid", *by))
+    found = found.withColumn("in_piece", within(is_line, "block", "piece")).withColumn("in_block", within(F.col("piece").isNotNull(), "block"))
+    taken = F.max(is_piece & F.col("sure") & (F.size("in_piece") == 0)).over(Window.partitionBy("rid", "block", "piece"))
+    found = found.withColumn("taken", taken)
+    counts = F.when(is_line, ~F.col("taken") & (F.col("named") | (F.col("family") != UNKNOWN))).otherwise(F.col("sure") & ~F.array_contains(F.when(is_piece, F.col("in_piece")).otherwise(F.col("in_block")), F.col("family")))
+    found = found.withColumn("counts", F.col("block").isNotNull() & counts)
+    return found.select("rid", "doc_id", *(F.when(F.col("counts"), F.col(c)).alias(c) for c in ("block", "piece", "line", "family", "probability", "share")), (F.col("counts") & F.col("sure")).alias("confirmed"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
@@ -186,6 +225,6 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     sure, unknown = F.col("confirmed"), F.col("family") == UNKNOWN
     return rows.groupBy("rid", "doc_id").agg(
-        F.count("line").alias("n_paragraphs"), count(sure).alias("n_confirmed"), count(~sure & ~unknown).alias("n_unconfirmed"), count(unknown).alias("n_unknown"),
+        F.count("block").alias("n_paragraphs"), count(sure).alias("n_confirmed"), count(~sure & ~unknown).alias("n_unconfirmed"), count(unknown).alias("n_unknown"),
         F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("families"),
     ).drop("rid")
