@@ -70,3 +70,13 @@ def test_table(spark):
     rows = S.replace(docs).collect()
     mapping = check({r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.text for r in rows})
     assert len(mapping) > 30 and sum(r.n_email for r in rows) >= 10
+
+
+def test_mentions_of_a_name_agree_among_many_names(spark, frame):
+    names = [f"{a}{b}{c}" for a in "BCDFGHKLMN" for b in "aeiou" for c in ("rt", "lm")]
+    docs = frame([(i, f"Mr {n} and Mr John {n} met Dr {n}; Г-н Иван {x}ов saw Г-жа {x}ов.") for i, (n, x) in enumerate(zip(names, [f"{a}{b}{c}" for a in "БВГДК" for b in "аеиоу" for c in "рлмн"], strict=True))])
+    mapping = check({r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.text for r in S.replace(docs).collect()})
+    for n in names:
+        assert mapping[f"Mr {n}"].split()[-1] == mapping[f"Mr John {n}"].split()[-1] == mapping[f"Dr {n}"].split()[-1]
+    assert len({mapping[f"Mr John {n}"].split()[1] for n in names}) == 1
+    assert all(regex.fullmatch(r"[\p{Cyrillic}\- ]+", b) for a, b in mapping.items() if a.startswith("Г"))

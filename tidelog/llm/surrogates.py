@@ -12,7 +12,10 @@ documents. The distinct entities (an aggregate with partial sums) are assigned
 in rounds: a candidate that is an entity of the corpus, is taken, or is wanted
 by several but not by this one first, is drawn anew from the next hash. From
 round ``STRETCH`` candidates grow longer, so rounds end however crowded a
-format is. Texts meet their surrogates by a join on the value, which Spark may
+format is. Persons are composed of their words: each distinct family word, and
+each given word of a gender, has one surrogate word, assigned in such rounds
+over words, none of them a name word of the corpus; so all mentions of a word
+agree, however many names there are. Texts meet their surrogates by a join on the value, which Spark may
 split where a value is hot.
 
 Defined results: a null text stays null; texts without entities stay as they
@@ -22,6 +25,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,14 +84,33 @@ def _luhn(text: str) -> str:
     return rf"aggregate(transform(reverse(split(regexp_replace({text}, '[^0-9]', ''), '')), (c, i) -> CASE WHEN i % 2 = 0 THEN CAST(c AS INT) WHEN CAST(c AS INT) > 4 THEN 2 * CAST(c AS INT) - 9 ELSE 2 * CAST(c AS INT) END), 0, (a, x) -> a + x)"
 
 
-def _name(which: Column, word: Column, key: str) -> Column:
-    """A name from a list, by a keyed hash of the word it stands for."""
-    out = None
+def _names(words: DataFrame, key: str) -> DataFrame:
+    """Adds ``surrogate`` to (value, kind, attempt) of name words: a name from the list of its kind, from the second attempt on with letters after it."""
+    kind, out = F.col("kind"), None
+    digest = lambda *more: F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("name"), "value", *more), 256)
     for name, names in NAMES.items():
-        place = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("name"), word), 256), 1, 7), 16, 10).cast("int") % len(names) + 1
+        place = F.conv(F.substring(digest(), 1, 7), 16, 10).cast("int") % len(names) + 1
         chosen = F.element_at(F.array(*map(F.lit, names)), place)
-        out = F.when(which == name, chosen) if out is None else out.when(which == name, chosen)
-    return out
+        out = F.when(kind == name, chosen) if out is None else out.when(kind == name, chosen)
+    drawn = F.substring(digest(F.col("attempt").cast("string")), F.lit(1), F.when(F.col("attempt") >= STRETCH, 16).otherwise(4))
+    letters = F.when(kind.endswith("_cyrillic"), F.translate(drawn, "0123456789abcdef", "абвгдежзиклмнопр")).otherwise(F.translate(drawn, "0123456789", "ghijklmnop"))
+    return words.select("value", "kind", "attempt", F.concat(out, F.when(F.col("attempt") == 0, "").otherwise(letters)).alias("surrogate"))
+
+
+def _persons(persons: DataFrame, key: str) -> DataFrame:
+    """(value, kind, surrogate) of persons, composed of one surrogate for each distinct name word of a kind."""
+    value = F.col("value")
+    script = F.when(value.rlike(r"\p{IsCyrillic}"), "_cyrillic").otherwise("")
+    words = F.split(value, " ")
+    title = F.rtrim(words[0], F.lit("."))
+    gender = F.when(title.isin(*_FEMALE), "female").when(title.isin(*_MALE), "male").when(F.crc32(words[1].cast("binary")) % 2 == 0, "female").otherwise("male")
+    tagged = lambda kind, word: F.concat(kind, F.lit(" "), word)
+    parts = settle(persons.select("value", "kind", words[0].alias("title"), F.when(F.size(words) > 2, tagged(F.concat(gender, script), words[1])).alias("given"), tagged(F.concat(F.lit("family"), script), F.element_at(words, -1)).alias("family")), "persons")
+    each = parts.select(F.explode(F.array("given", "family")).alias("value")).where("value IS NOT NULL").distinct()
+    each = settle(each.select("value", F.substring_index("value", " ", 1).alias("kind")), "words")
+    done = _rounds(each, each.select(F.substring_index("value", " ", -1).alias("surrogate")).distinct(), lambda waiting: _names(waiting, key))
+    name = lambda c: done.select(F.col("value").alias(c), F.col("surrogate").alias(f"new_{c}"))
+    return parts.join(name("family"), "family").join(name("given"), "given", "left").select("value", "kind", F.concat_ws(" ", "title", "new_given", "new_family").alias("surrogate"))
 
 
 def candidates(entities: DataFrame, key: str) -> DataFrame:
@@ -94,16 +118,10 @@ def candidates(entities: DataFrame, key: str) -> DataFrame:
     value, kind = F.col("value"), F.col("kind")
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
-    script = F.when(value.rlike(r"\p{IsCyrillic}"), "_cyrillic").otherwise("")
-    words = F.split(value, " ")
-    title = F.rtrim(words[0], F.lit("."))
-    gender = F.when(title.isin(*_FEMALE), "female").when(title.isin(*_MALE), "male").when(F.crc32(words[1].cast("binary")) % 2 == 0, "female").otherwise("male")
     df = entities.withColumns({
         "stream": _stream(key, kind, value, F.col("attempt").cast("string")),
         "domains": _stream(key, F.lit("domain"), F.lower(domain)),
         "local": local, "host": F.when(kind == "email", F.expr("substr(substring_index(value, '@', -1), 1, length(substring_index(value, '@', -1)) - length(substring_index(substring_index(value, '@', -1), '.', -1)) - 1)")), "top": top,
-        "family": F.concat(_name(F.concat(F.lit("family"), script), F.element_at(words, -1), key), F.when(F.col("attempt") == 0, "").otherwise(F.translate(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), value, F.col("attempt").cast("string")), 256), 1, 4), "0123456789", "ghijklmnop"))),
-        "given": F.when(F.size(words) > 2, F.concat(_name(F.concat(gender, script), words[1], key), F.lit(" "))).otherwise(""),
     })
     df = df.withColumn("shape", F.expr(_same_shape("value", "stream")))
     octet = lambda k: F.conv(F.substring("stream", 2 * k + 1, 2), 16, 10)
@@ -118,20 +136,18 @@ def candidates(entities: DataFrame, key: str) -> DataFrame:
         .when(kind == "iban", F.expr("concat(substr(value, 1, 2), substr(shape, 3))"))
         .when(kind == "card", F.concat(F.expr("substr(card, 1, length(card) - 1)"), last))
         .when(kind == "phone", F.concat(F.substring(value, F.lit(1), prefix), F.substring("shape", prefix + 1, F.length("shape"))))
-        .when(kind == "person", F.concat(words[0], F.lit(" "), "given", "family"))
         .otherwise(F.col("shape"))
     )
     longer = F.when(F.col("attempt") >= STRETCH, F.translate(F.substring("stream", 100, 12), "abcdef", "024681")).otherwise("")
     return df.select("value", "kind", "attempt", F.when(kind == "email", F.concat(longer, surrogate)).otherwise(F.concat(surrogate, longer)).alias("surrogate"))
 
 
-def assign(values: DataFrame, key: str) -> DataFrame:
-    """(value, kind, surrogate) of each distinct value: no surrogate twice, none that is a value itself."""
-    values = settle(values.select("value", kind_of(F.col("value")).alias("kind")), "entities")
+def _rounds(values: DataFrame, barred: DataFrame, draw: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(value, kind, surrogate) of settled (value, kind): no surrogate twice, none that is barred."""
     waiting, done = values.withColumn("attempt", F.lit(0)), None
     while True:
-        drawn = settle(candidates(waiting, key), "drawn")
-        free = drawn.join(values.select(F.col("value").alias("surrogate")), "surrogate", "left_anti")
+        drawn = settle(draw(waiting), "drawn")
+        free = drawn.join(barred, "surrogate", "left_anti")
         if done is not None:
             free = free.join(done.select("surrogate"), "surrogate", "left_anti")
         winners = free.groupBy("surrogate").agg(F.min("value").alias("value"))
@@ -142,6 +158,13 @@ def assign(values: DataFrame, key: str) -> DataFrame:
             return done
 
 
+def assign(values: DataFrame, key: str) -> DataFrame:
+    """(value, kind, surrogate) of each distinct value: no surrogate twice, none that is a value itself."""
+    values = settle(values.select("value", kind_of(F.col("value")).alias("kind")), "entities")
+    done = _rounds(values.where("kind != 'person'"), values.select(F.col("value").alias("surrogate")), lambda waiting: candidates(waiting, key))
+    return done.unionAll(_persons(values.where("kind = 'person'"), key))
+
+
 def replace(docs: DataFrame, *, key: str = "tidelog", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, the number of its entities of each type, and its text with surrogates."""
     text = F.col("text")
