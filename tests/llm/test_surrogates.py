@@ -80,3 +80,20 @@ def test_mentions_of_a_name_agree_among_many_names(spark, frame):
         assert mapping[f"Mr {n}"].split()[-1] == mapping[f"Mr John {n}"].split()[-1] == mapping[f"Dr {n}"].split()[-1]
     assert len({mapping[f"Mr John {n}"].split()[1] for n in names}) == 1
     assert all(regex.fullmatch(r"[\p{Cyrillic}\- ]+", b) for a, b in mapping.items() if a.startswith("Г"))
+
+
+def test_international_phones_ipv6_and_bare_names(spark, frame):
+    phones = ["+49 30 1234567", "+33 1 42 68 53 00", "+34 912 34 56 78", "+44 20 7946 0958", "+491701234567", "(030) 1234567", "01 42 68 53 00", "912 34 56 78"]
+    sixes = ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1", "::1"]
+    clean = ["on 05.11.2026 or 01-02-2020", "std::vector and a::b at 12:30:45", "1.5 + 2.25 = 3.75"]
+    rows = {r.doc_id: r for r in S.replace(frame(list(enumerate([*phones, *sixes, *clean, "Smith wrote. Mr John Smith came. Smith sat, John left, Smithson stayed."])))).collect()}
+    n = len(phones)
+    for i, old in enumerate(phones):
+        assert rows[i].n_phone == 1 and rows[i].text != old and shape(rows[i].text) == shape(old)
+        assert old[0] != "+" or rows[i].text[:2] == old[:2]
+    for i, old in enumerate(sixes):
+        assert rows[n + i].n_ip == 1 and rows[n + i].text != old and len(rows[n + i].text) == len(old)
+    for i, old in enumerate(clean):
+        assert rows[n + len(sixes) + i].text == old
+    given, family = re.search(r"Mr (\S+) (\S+) came", (last := rows[n + len(sixes) + len(clean)]).text).groups()
+    assert last.text == f"{family} wrote. Mr {given} {family} came. {family} sat, {given} left, Smithson stayed." and last.n_person == 1

@@ -1,6 +1,6 @@
 """PII surrogates, in DataFrame operations only.
 
-Detected entities (mail addresses, IPv4 addresses, bank, card and social
+Detected entities (mail addresses, IPv4 and IPv6 addresses, bank, card and social
 security numbers, phone numbers, persons after a title) are replaced by keyed
 surrogates of the same type and format: letters for letters and digits for
 digits in place, an account's country, a phone's country code, a card's first
@@ -18,6 +18,9 @@ over words, none of them a name word of the corpus; so all mentions of a word
 agree, however many names there are. Texts meet their surrogates by a join on the value, which Spark may
 split where a value is hot.
 
+Words of a person's name that stand alone elsewhere in the same document get
+the same surrogate words; they are not counted.
+
 Defined results: a null text stays null; texts without entities stay as they
 are; repeated rows each get their row; long texts are read whole; an empty
 table gives an empty result.
@@ -36,19 +39,26 @@ STRETCH = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _MALE, _FEMALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа")
 _TITLES = "|".join(sorted([*_MALE, *_FEMALE, "Dr", "Prof"], key=len, reverse=True))
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Full, or shortened by '::' with a digit somewhere ('a::b' is code).
+_IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*[0-9])(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\p{{L}}\p{{N}}:])"
+#: After a plus sign 7 to 15 digits in any grouping; without one, groups after a leading 0 that are no date, and 3-2-2-2.
+_ABROAD = r"(?<![\p{L}\p{N}+])\+[0-9](?:[ .()/-]{0,2}[0-9]){6,14}(?![0-9])"
+_HOME = r"(?<![\p{L}\p{N}.,+-])(?=\(?0)(?=(?:[ ()./-]{0,2}[0-9]){7,15}(?![0-9]))(?![0-9]{2}[./-][0-9]{2}[./-](?:[0-9]{4}|[0-9]{2})(?![0-9]|[ ./-][0-9]))(?:\(0[0-9]{1,5}\)|0[0-9]{1,5})(?:[ ./-]{1,2}[0-9]{2,8}){1,6}(?![0-9])"
+_TRIPLE = r"(?<![\p{L}\p{N}.,+-])[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}(?![0-9]|[.,][0-9])"
 #: In order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+[\p{L}]{2,}",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])|{_IPV6}",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": rf"{_ABROAD}|{_HOME}|{_TRIPLE}|" + r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 ANY = "|".join(PATTERNS.values())
 #: Without a match of this there is no entity.
-HINT = rf"[0-9]{{3}}|@|[0-9]\.[0-9]|(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9][ .()/-]{{0,2}}[0-9]|@|:[0-9A-Fa-f:]|(?:{_TITLES})\.? \p{{Lu}}"
 # Surrogate names.
 NAMES = {
     "male": ["Adam", "Bruno", "Carlo", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Noah", "Oscar", "Paul"],
@@ -126,19 +136,24 @@ def candidates(entities: DataFrame, key: str) -> DataFrame:
     df = df.withColumn("shape", F.expr(_same_shape("value", "stream")))
     octet = lambda k: F.conv(F.substring("stream", 2 * k + 1, 2), 16, 10)
     first = F.substring_index(value, ".", 1)
-    prefix = F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}", 0))
+    prefix = F.length(F.regexp_extract(value, rf"^(?:\+[0-9]{{1,3}}|\(?0|[6-9](?=[0-9]{{2}}(?:[ .-][0-9]{{2}}){{3}}$))", 0))
+    hexes = F.translate("stream", "ABCDEF", "abcdef")
+    six = F.expr(r"array_join(transform(split(value, ''), (c, i) -> CASE WHEN i < length(substring_index(value, ':', 1)) THEN c WHEN c RLIKE '[0-9]' THEN substr(translate(stream, 'abcdef', '024681'), CAST(pmod(i, 128) AS INT) + 1, 1) WHEN c RLIKE '[a-f]' THEN substr(translate(stream, '0123456789', 'abcdefabcd'), CAST(pmod(i, 128) AS INT) + 1, 1) WHEN c RLIKE '[A-F]' THEN upper(substr(translate(stream, '0123456789', 'abcdefabcd'), CAST(pmod(i, 128) AS INT) + 1, 1)) ELSE c END), '')")
+    six = F.when(F.col("attempt") >= STRETCH, F.regexp_replace(F.substring(hexes, 65, 32), "(.{4})(?!$)", "$1:")).otherwise(six)
+    is_six = (kind == "ip") & value.contains(":")
     card = F.expr("concat(substr(value, 1, 1), substr(shape, 2))")
     df = df.withColumn("card", F.when(kind == "card", card))
     last = F.expr(f"CAST(pmod(CAST(right(card, 1) AS INT) + {_luhn('value')} - {_luhn('card')}, 10) AS STRING)")
     surrogate = (
         F.when(kind == "email", F.concat(F.expr(_same_shape("local", "stream")), F.lit("@"), F.expr(_same_shape("host", "domains")), "top"))
+        .when(is_six, six)
         .when(kind == "ip", F.concat_ws(".", first, octet(0), octet(1), octet(2)))
         .when(kind == "iban", F.expr("concat(substr(value, 1, 2), substr(shape, 3))"))
         .when(kind == "card", F.concat(F.expr("substr(card, 1, length(card) - 1)"), last))
         .when(kind == "phone", F.concat(F.substring(value, F.lit(1), prefix), F.substring("shape", prefix + 1, F.length("shape"))))
         .otherwise(F.col("shape"))
     )
-    longer = F.when(F.col("attempt") >= STRETCH, F.translate(F.substring("stream", 100, 12), "abcdef", "024681")).otherwise("")
+    longer = F.when((F.col("attempt") >= STRETCH) & ~is_six, F.translate(F.substring("stream", 100, 12), "abcdef", "024681")).otherwise("")
     return df.select("value", "kind", "attempt", F.when(kind == "email", F.concat(longer, surrogate)).otherwise(F.concat(surrogate, longer)).alias("surrogate"))
 
 
@@ -174,9 +189,13 @@ def replace(docs: DataFrame, *, key: str = "tidelog", id_col: str = "doc_id", te
     some = settle(found.where(F.size("entities") > 0).withColumn("pieces", F.split("text", ANY, -1)).drop("text"), "found")
     each = some.select("rid", F.posexplode("entities").alias("place", "value"))
     known = assign(each.select("value").distinct(), key)
-    named = each.join(known, "value").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "surrogate"))).alias("named"))
+    named = each.join(known, "value").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "surrogate", "value"))).alias("named"))
+    parts = lambda c: F.slice(F.split(c, " "), 2, 2)
+    pairs = F.array_distinct(F.flatten(F.transform(F.filter("named", lambda x: x["kind"] == "person"), lambda x: F.zip_with(parts(x["value"]), parts(x["surrogate"]), lambda a, b: F.struct(a.alias("old"), b.alias("new"))))))
+    alone = lambda piece, n: F.regexp_replace(piece, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), n["old"], F.lit(r"(?![\p{L}\p{N}])")), n["new"])
+    bare = F.aggregate(pairs, F.col("pieces"), lambda all_, n: F.transform(all_, lambda piece: alone(piece, n)))
     whole = F.concat(F.array_join(F.zip_with(F.slice("pieces", 1, F.size("named")), F.col("named.surrogate"), lambda a, b: F.concat(a, b)), ""), F.element_at("pieces", -1))
     count = lambda k: F.size(F.filter("named.kind", lambda x: x == k)).cast("long").alias(f"n_{k}")
-    changed = some.join(named, "rid").select("doc_id", *map(count, PATTERNS), whole.alias("text"))
+    changed = some.join(named, "rid").withColumn("pieces", bare).select("doc_id", *map(count, PATTERNS), whole.alias("text"))
     same = found.where(F.size("entities") == 0).select("doc_id", *(F.lit(0).cast("long").alias(f"n_{k}") for k in PATTERNS), "text")
     return changed.unionAll(same)
