@@ -1,9 +1,11 @@
 import hashlib
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelog.llm import bpe
@@ -43,8 +45,39 @@ def test_encode_and_decode(spark, frame):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("abthein's., ésTHE1"), max_size=30), max_size=6))
 def test_words_match_the_library(texts):
-    words = [w for t in texts for w in t.split()]
-    assert bpe.Encoder(VOCABULARY).encode_words(words) == [LIBRARY.encode(w, add_special_tokens=False).ids for w in words]
+    words = [w.encode() for t in texts for w in t.split()]
+    (of,) = bpe.Encoder(VOCABULARY, lambda ids: "".join(f" {i}" for i in ids)).learn([words])
+    assert [[int(i) for i in of(w).split()] for w in words] == [LIBRARY.encode(w.decode(), add_special_tokens=False).ids for w in words]
+
+
+def test_forgotten_words_and_long_texts_match_the_library(spark, frame):
+    """Several slices with more distinct words than are kept, then a slice of as many others; a text of several stretches."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(400_100)) for _ in range(2)]
+    texts += ["word \u00a0 x\u3000 " * 600_000, "y" + " " * (9 << 20) + "z<|endoftext|>", "\u00a0 \u3000 " * 1_200_000 + "end"]
+    docs = frame(list(enumerate(texts))).repartitionByRange(2, F.col("doc_id") < 2)
+    ids = {r.doc_id: (r.n_tokens, r.ids) for r in bpe.encode(docs).collect()}
+    for r in bpe.digests(docs).collect():
+        own, text = want(texts[r.doc_id])
+        assert (r.n_tokens, list(ids[r.doc_id][1])) == (len(own), own) and ids[r.doc_id][0] == len(own)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_whole_table_matches_the_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r for r in bpe.digests(docs).collect()}
+    for d in docs.collect():
+        own, text = want(d.text)
+        assert (rows[d.doc_id].n_tokens, rows[d.doc_id].ids_sha256, rows[d.doc_id].decoded_sha256) == (len(own), hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_a_vocabulary_of_another_kind_is_refused(tmp_path):
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "BPEDecoder", "suffix": "</w>"}}):
+        spec = json.loads(open(PATH, encoding="utf-8").read()) | change
+        (tmp_path / "v.json").write_text(json.dumps(spec), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(str(tmp_path / "v.json"))
 
 
 def test_a_vocabulary_out_of_order_is_refused(tmp_path):

@@ -1,22 +1,26 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The distinct words of a slice of a partition are laid out as one chain of
-symbols. An index maps each pair's rank to all its positions; active ranks are
-applied in ascending order, each to all its positions at once, and the lists
-of the pairs that a merge makes or breaks are updated. Positions that went
-stale are dropped when their rank's turn comes. What a word becomes is kept
-for the next slices of the partition, up to ``KEPT_WORDS``.
+The distinct pieces of words of a slice of a partition that earlier slices did
+not hold are laid out as one chain of symbols. An index maps each pair's rank to all
+its positions; active ranks are applied in ascending order, each to all its
+positions at once, and the lists of the pairs that a merge makes or breaks are
+updated. Positions that went stale are dropped when their rank's turn comes.
+What a word and a piece become is kept for the next slices of the partition, by
+their own bytes; more than ``KEPT_WORDS`` of them are forgotten all at once
+before a slice, which costs time and changes nothing.
 
 The vocabulary is a tokenizers JSON file of the word-end kind: NFC, lower
 case, words split into letters, single digits, other marks and English
 contractions, UTF-8 bytes as symbols, ``</w>`` on the last. It is read on the
-driver (some megabytes, fixed) and shipped to the workers. Ranks must rise
+driver (some megabytes, fixed) and shipped to the workers. A file that
+normalises, splits or decodes otherwise is refused. Ranks must rise
 along every chain of merges, as training makes them; a file whose ranks do
 not is refused.
 
 Defined results: a null text is empty; an empty text has no tokens; white
 space gives none; the strings of special tokens in a text become their ids;
-repeated rows each get theirs; long texts are encoded whole; an empty table
+repeated rows each get theirs; long texts are encoded whole, a stretch of
+words at a time; an empty table
 gives an empty result. ``decode`` joins token strings by one space, as a
 tokenizer without a decoder does; null ids decode to an empty text.
 """
@@ -26,8 +30,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
+from array import array
 from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -36,11 +43,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.words import BLANK, Words, steps
+from tidelog.llm.words import flat, steps
 
 SLICE_BYTES = 8 << 20
 KEPT_WORDS = 400_000
 WORD_END = "</w>"
+#: What ``bytes.split`` splits at.
+_BLANK = re.compile(rb"[ \t-\r]")
+# The steps that a file must state, as this encoder knows no others.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
 
 def default_vocabulary() -> str:
@@ -64,6 +79,12 @@ class Vocabulary:
         model, ids = spec["model"], spec["model"]["vocab"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != WORD_END:
             raise ValueError(f"{path} is no BPE vocabulary with word ends")
+        if (spec["normalizer"] or {}).get("normalizers") != NORMALIZER or (spec["pre_tokenizer"] or {}).get("pretokenizers") != SPLITTER or spec["decoder"]:
+            raise ValueError(f"{path} normalises, splits or decodes in another way")
+        if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path} merges in another way")
+        if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(re.search(r"\s", t["content"]) for t in spec["added_tokens"]):
+            raise ValueError(f"{path} has added tokens that are more than plain strings")
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (1 + max([*ids.values(), *self.special.values()]))
@@ -86,14 +107,14 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes words of one partition."""
+    """Encodes words of one partition. ``pieces`` and ``words`` have what each of ``renders`` makes of their ids: a string, that of a word the pieces' joined."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.pieces = regex.compile(vocabulary.pieces)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
-        self.kept: dict[int, int] = {}
-        self.ids: list[list[int]] = []
+    def __init__(self, vocabulary: Vocabulary, *renders: Callable[[list[int]], str | bytes]):
+        self.v, self.renders = vocabulary, renders
+        self.splitter = regex.compile(vocabulary.pieces)
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
+        self.pieces: list[dict[bytes, str | bytes]] = [{} for _ in renders]
+        self.words: list[dict[bytes, str | bytes]] = [{} for _ in renders]
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair; -1 for none."""
@@ -160,50 +181,75 @@ class Encoder:
                         heapq.heappush(active, k)
         return alive
 
-    def _pieces(self, word: str) -> list[str]:
-        if word.isascii():
-            word = word.lower()
-            return [word] if word.isalpha() else self.pieces.findall(word)
-        word = unicodedata.normalize("NFC", word)
-        return self.pieces.findall("".join(c.lower() for c in word))
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word (a run without blanks)."""
-        out: list[list] = []
-        pieces: list[bytes] = []
-        for word in words:
-            own: list = []
-            for part in self.special.split(word) if self.special and "<" in word else (word,):
-                if part in self.v.special:
-                    own.append(self.v.special[part])
-                else:
-                    for piece in self._pieces(part):
-                        own.append((len(pieces),))
-                        pieces.append(piece.encode("utf-8"))
-            out.append(own)
+    def split(self, word: bytes) -> list[bytes]:
+        """The pieces of a word (a run without blanks); a special token is one, after a blank."""
+        if word.isalpha():
+            return [word.lower()]
+        out, text = [], word.decode("utf-8", "replace")
+        for part in self.special.split(text) if self.special and self.special.search(text) else (text,):
+            if part in self.v.special:
+                out.append(f" {part}".encode())
+                continue
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part)
+            lower = "".join(c.lower() for c in part) if "\u03a3" in part else part.lower()
+            out += [piece.encode("utf-8") for piece in self.splitter.findall(lower)]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece."""
         raw = np.frombuffer(b"".join(pieces), np.uint8)
-        end = np.cumsum([len(p) for p in pieces], dtype=np.int64) if pieces else np.empty(0, np.int64)
+        end = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         symbol, final = self.v.inner[raw], np.zeros(len(raw), bool)
         final[end - 1] = True
         symbol[final] = self.v.final[raw[final]]
         alive = self.merge(symbol, final) if len(raw) else np.empty(0, bool)
         left = np.r_[0, np.cumsum(alive)][np.r_[0, end]].tolist()
         ids = symbol[alive].tolist()
-        return [[i for x in own for i in (ids[left[x[0]] : left[x[0] + 1]] if type(x) is tuple else (x,))] for own in out]
-
-    def slice(self, column: pa.Array) -> tuple[Words, np.ndarray]:
-        """The words of the texts, and where ``self.ids`` has each one's ids."""
-        words = Words(column, BLANK)
-        own, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.kept) > KEPT_WORDS:
-            self.kept, self.ids = {}, []
-        known = self.kept
-        new = [(h, i) for h, i in zip(own.tolist(), first.tolist(), strict=True) if h not in known]
-        for (h, _), ids in zip(new, self.encode_words([words.text(i).decode("utf-8", "replace") for _, i in new]), strict=True):
-            known[h] = len(self.ids)
-            self.ids.append(ids)
-        place = np.fromiter((known[h] for h in own.tolist()), np.int64, len(own))
-        return words, place[which]
+        return [[self.v.special[p[1:].decode()]] if p[0] == 32 else ids[a:b] for p, a, b in zip(pieces, left, left[1:], strict=False)]
+
+    def learn(self, texts: Iterable[list[bytes]]) -> list[Callable[[bytes], str | bytes]]:
+        """Lookups in ``words``, with all words of the texts. It starts anew once it holds more than ``KEPT_WORDS``."""
+        if len(self.words[0]) > KEPT_WORDS:
+            self.pieces, self.words = [{} for _ in self.renders], [{} for _ in self.renders]
+        new = list(set().union(*texts).difference(self.words[0]))
+        split = list(map(self.split, new))
+        fresh = list(set().union(*split).difference(self.pieces[0]))
+        ids = self.encode(fresh)
+        for render, pieces, words in zip(self.renders, self.pieces, self.words, strict=True):
+            pieces.update(zip(fresh, map(render, ids), strict=True))
+            join = render([]).join
+            words.update(zip(new, [pieces[own[0]] if len(own) == 1 else join([pieces[p] for p in own]) for own in split], strict=True))
+        return [words.__getitem__ for words in self.words]
+
+
+def _stretches(text: bytes, size: int) -> Iterator[list[bytes]]:
+    """The words of a text, a stretch of about ``size`` bytes at a time; at least one list."""
+    at = 0
+    while len(text) - at > size:
+        blank = _BLANK.search(text, at + size)
+        end = blank.start() if blank else len(text)
+        yield text[at:end].split()
+        at = end
+    yield text[at:].split()
+
+
+def _spoken(batches: Iterable[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[pa.Array, Iterator[Iterator[list]]]]:
+    """Ids of some documents, and for each document, stretch by stretch, what ``encoder`` renders of its words."""
+
+    def stretch(words: list[bytes], lookups: list) -> list:
+        return [render([]).join(map(of, words)) for render, of in zip(encoder.renders, lookups, strict=True)]
+
+    for batch in batches:
+        for part in steps(batch, "text", SLICE_BYTES):
+            raw, ends = flat(part.column("text"))
+            raw, ends = raw.tobytes(), ends.tolist()
+            if len(raw) > SLICE_BYTES:
+                yield part.column("doc_id"), iter([(stretch(words, encoder.learn([words])) for words in _stretches(raw, SLICE_BYTES))])
+            else:
+                texts = [raw[a:b].split() for a, b in zip(ends, ends[1:], strict=False)]
+                lookups = encoder.learn(texts)
+                yield part.column("doc_id"), (iter([stretch(words, lookups)]) for words in texts)
 
 
 def _select(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -215,18 +261,11 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     vocabulary = Vocabulary(path or default_vocabulary())
 
     def run(batches):
-        encoder = Encoder(vocabulary)
-        for batch in batches:
-            for part in steps(batch, "text", SLICE_BYTES):
-                words, place = encoder.slice(part.column("text"))
-                size = np.fromiter(map(len, encoder.ids), np.int64, len(encoder.ids))
-                start = np.r_[0, np.cumsum(size)]
-                every = np.fromiter((i for x in encoder.ids for i in x), np.int32, int(size.sum()))
-                n = size[place]
-                total = np.r_[0, np.cumsum(n)]
-                ids = every[np.arange(total[-1]) - np.repeat(total[:-1] - start[place], n)]
-                ends = total[words.first]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=["doc_id", "n_tokens", "ids"])
+        for names, texts in _spoken(batches, Encoder(vocabulary, lambda ids: array("i", ids).tobytes())):
+            ids = [b"".join(x for (x,) in stretches) for stretches in texts]
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([names, pa.array(n), lists], names=["doc_id", "n_tokens", "ids"])
 
     return _select(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
@@ -248,25 +287,18 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     vocabulary = Vocabulary(path or default_vocabulary())
 
     def run(batches):
-        encoder, tokens, decimal = Encoder(vocabulary), vocabulary.tokens, [str(i) for i in range(len(vocabulary.tokens))]
-        said: list[str] = []
-        meant: list[str] = []
-        for batch in batches:
-            for part in steps(batch, "text", SLICE_BYTES):
-                words, place = encoder.slice(part.column("text"))
-                if len(encoder.ids) < len(said):
-                    said, meant = [], []
-                fresh = encoder.ids[len(said) :]
-                said += [" ".join([decimal[i] for i in x]) for x in fresh]
-                meant += [" ".join([tokens[i] for i in x]) for x in fresh]
-                size = np.fromiter(map(len, encoder.ids), np.int64, len(encoder.ids))[place]
-                total = np.r_[0, np.cumsum(size)][words.first]
-                some = size > 0
-                place, first = place[some], np.r_[0, np.cumsum(some)][words.first]
-                rows: tuple[list, list] = ([], [])
-                for out, strings in zip(rows, (np.array(said, object), np.array(meant, object)), strict=True):
-                    for d in range(len(words.count)):
-                        out.append(hashlib.sha256(" ".join(strings[place[first[d] : first[d + 1]]]).encode("utf-8")).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(total)), pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tokens, decimal = [f" {t}" for t in vocabulary.tokens], [f" {i}" for i in range(len(vocabulary.tokens))]
+        encoder = Encoder(vocabulary, lambda ids: "".join([decimal[i] for i in ids]), lambda ids: "".join([tokens[i] for i in ids]))
+        for names, texts in _spoken(batches, encoder):
+            rows = []
+            for stretches in texts:
+                n, digests = 0, (hashlib.sha256(), hashlib.sha256())
+                for said in stretches:
+                    if said[0]:
+                        for digest, x in zip(digests, said, strict=True):
+                            digest.update((x if n else x[1:]).encode("utf-8"))
+                        n += said[0].count(" ")
+                rows.append((n, *(d.hexdigest() for d in digests)))
+            yield pa.RecordBatch.from_arrays([names, *map(pa.array, zip(*rows, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _select(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
