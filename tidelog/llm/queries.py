@@ -63,13 +63,14 @@ _BLANKS = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+          SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
           FROM embeddings
           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        asked AS (SELECT vec_id, arg_min(q, embedding) AS q FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
         scored AS (
           SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
-          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+          FROM asked a JOIN v b ON a.vec_id <> b.vec_id),
         ranked AS (
           SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
