@@ -11,11 +11,11 @@ SF = "/root/testdata/sf0.01"
 
 
 def brute(rows, k=10):
-    ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, list(v), [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in sorted({i: v for i, v in sorted(ok, reverse=True)}.items()):
+    for q, a in sorted({i: w for i, _, w in sorted(ok, reverse=True)}.items()):
         if q % 100 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in ok if i != q)[:k]
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, _, b in ok if i != q)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
