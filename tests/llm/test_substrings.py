@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import substrings
 from tidelog.llm.fmindex import FMIndex, WaveletMatrix
@@ -36,9 +37,23 @@ def test_whole_table_matches_brute_force(spark):
     assert rows(substrings.removed(docs)) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
-@pytest.mark.parametrize("heavy", [2048, 3])
-def test_common_passages_and_odd_rows(spark, frame, monkeypatch, heavy):
-    monkeypatch.setattr(substrings, "HEAVY", heavy)
+def test_rows_in_another_order_on_each_read(spark, frame):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = brute([tuple(r) for r in docs.collect()])
+    assert rows(substrings.removed(docs.repartition(9))) == want
+    assert rows(substrings.removed(docs.withColumn("r", F.rand()).sort("r").drop("r"))) == want
+
+
+def test_many_copies(spark, frame):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(900)}"
+    text, other = (" ".join(word() for _ in range(80)) for _ in range(2))
+    docs = [(i, text) for i in range(700)] + [(1000 + i, f"{text} {word()} {other if i % 2 else ''}") for i in range(40)] + [(2000, other)]
+    assert rows(substrings.removed(frame(docs).repartition(8))) == brute(docs)
+
+
+@pytest.mark.parametrize(("common", "heavy"), [(256, 1024), (3, 1024), (3, 2), (1000, 3)])
+def test_common_passages_and_odd_rows(spark, frame, common, heavy):
     rng = random.Random(5)
     word = lambda: f"é{rng.randrange(3000)}"
     passage = [word() for _ in range(60)]
@@ -46,7 +61,7 @@ def test_common_passages_and_odd_rows(spark, frame, monkeypatch, heavy):
     for i in range(30):
         docs.append((100 + i, " \n".join([*(word() for _ in range(rng.randrange(50))), *passage[: rng.randrange(30, 61)], *(word() for _ in range(50))])))
     docs += [docs[-1], (None, docs[-2][1])]
-    df = substrings.removed(frame(docs), anchor_bits=1 << 15)
+    df = substrings.removed(frame(docs), anchor_bits=1 << 15, common=common, heavy=heavy)
     assert rows(df) == brute(docs)
     for r in df.collect():
         assert sum(x.end - x.start for x in r.intervals) == r.n_removed
@@ -64,17 +79,27 @@ def test_rank():
         assert (w.rank(np.full(1001, c), at) - start == np.r_[0, np.cumsum(text == c)]).all()
 
 
-def test_index_reports_repeated_windows():
-    rng = np.random.default_rng(0)
-    for size in (5, 50):
-        base = rng.integers(1, size, 300)
-        segments = list({tuple(base[s : s + n].tolist()) for s, n in zip(rng.integers(0, 238, 120), rng.integers(35, 62, 120), strict=True)})
-        weight = rng.integers(1, 3, len(segments))
-        hashes = np.concatenate(segments).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        index = FMIndex(hashes, np.array([len(s) for s in segments]), weight, 35)
-        seen = Counter()
-        for s, w in zip(segments, weight, strict=True):
-            for i in range(len(s) - 34):
-                seen[s[i : i + 35]] += w
-        want = {(k, i) for k, s in enumerate(segments) for i in range(len(s) - 34) if seen[s[i : i + 35]] > 1}
-        assert set(zip(*(x.tolist() for x in index.repeated()), strict=True)) == want
+def longest(text, at, seen):
+    n = 0
+    while at + n < len(text) and seen[text[at : at + n + 1]] > 1:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("size", [2, 5, 50])
+def test_matching_statistics(size):
+    rng = np.random.default_rng(size)
+    base = rng.integers(1, size, 300)
+    own = list({tuple(base[s : s + n].tolist()) for s, n in zip(rng.integers(0, 238, 120), rng.integers(1, 62, 120), strict=True)})
+    weight = rng.integers(1, 3, len(own))
+    seen = Counter()
+    for s, w in zip(own, weight, strict=True):
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                seen[s[i:j]] += w
+    texts = [*own, tuple(base.tolist()), tuple(rng.integers(0, size + 2, 400).tolist()), (), (99,), (1,)]
+    hashes = lambda xs: np.array([x for s in xs for x in s], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    index = FMIndex(hashes(own), np.array([len(s) for s in own]), weight)
+    got = index.statistics(hashes(texts), np.array([len(s) for s in texts])).tolist()
+    assert got == [longest(s, i, seen) for s in texts for i in range(len(s))]
+    assert FMIndex(hashes([]), np.empty(0, np.int64), weight[:0]).statistics(hashes(own), np.array([len(s) for s in own])).sum() == 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.shared import settle
+from tidelog.llm.shared import settle, within
 from tidelog.llm.words import BLANK_LOWER, U64, Words, mix, ngrams, steps
 
 BANDS, ROWS = 25, 5
@@ -126,12 +126,8 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str, carry: bo
 
 
 def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose rid is wanted, and few others: a bitmap of fixed size, by broadcast, spares the rest the shuffle of the join that follows."""
-    place = F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS))
-    bits = wanted.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bit = F.bitmap_bit_position(place).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("part")).where(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).drop("part", "bits")
+    """The rows whose rid is wanted, and few others."""
+    return within(rows, wanted, F.xxhash64("rid"), FILTER_BITS).where("flag").drop("flag")
 
 
 def _star_links(pairs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,16 @@ def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
         _settled.remove(path)
 
 
+def within(rows: DataFrame, wanted: DataFrame, key: Column, bits: int) -> DataFrame:
+    """Adds ``flag``: false only for rows whose 64-bit ``key`` is not one of ``wanted``'s. A bitmap of fixed size (a bit for each of ``bits``), by broadcast, keeps the others out of the shuffle that follows."""
+    place = F.pmod(key, F.lit(bits))
+    parts = wanted.select(F.bitmap_bucket_number(place).alias("_part"), F.bitmap_bit_position(place).alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bit = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    flag = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0, F.lit(False))
+    return rows.join(F.broadcast(parts), F.bitmap_bucket_number(place) == F.col("_part"), "left").select(*rows.columns, flag.alias("flag"))
+
+
 def fold_of(id_col: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

@@ -1,48 +1,58 @@
 """Substring dedup: removes every passage of ``window`` words that occurs anywhere else.
 
-1. Each window of words has an anchor: its least 8-word shingle by hash. The
+1. Equal texts are collapsed to one with a weight, named by a digest of the
+   text, so that copies cost one row of a digest and rows need no number.
+2. Each window of words has an anchor: its least 8-word shingle by hash. The
    windows with the same anchor place form a segment, so segments deal out the
-   windows of a document, and equal windows have equal anchors. Anchors are
-   counted over the corpus; a bitmap of fixed size, shipped to the scan, keeps
+   windows of a text, and equal windows have equal anchors. Anchors are
+   counted over all texts; a bitmap of fixed size, shipped to the scan, keeps
    segments of anchors that occur once out of what follows (a full bitmap
-   would only let more through).
-2. Equal segments are collapsed to one with a weight (partial sums first), so
+   would only let more through). Of anchors with many segments the windows are
+   counted too, by hash, and segments are cut down to the windows that a second
+   such bitmap lets through: around a common passage all others differ.
+3. Equal segments are collapsed to one with a weight (partial sums first), so
    a passage that a third of the corpus shares is one row.
-3. Segments are dealt by anchor to shards; each shard builds a compressed
-   FM-index of its segments and streams them past it: backward search over
-   the wavelet matrix, with matches held to the window's length, reports each
-   window whose interval weighs two or more. An anchor with very many distinct
-   segments (what surrounds a common passage differs) is dealt by whole
-   windows instead, so no shard holds more than a bounded group.
-4. Reported windows return to their documents, whose covered words go.
-   Documents without any never leave their scan.
-
-Words are compared by 64-bit hashes, segments by 128 bits.
+4. Segments are dealt by anchor to shards; each shard builds a compressed
+   FM-index of its segments and streams the texts' segments past it: backward
+   search over the wavelet matrix gives the matching statistics, the longest
+   stretch from each word on that occurs more than once; a match that a word
+   ends is shortened to its parent interval. Windows within such a stretch
+   repeat. An anchor that still has very many segments is dealt by windows.
+5. Windows found return to their texts, whose covered words go. Texts without
+   any never leave their scan; of a text with very many copies each part of
+   the copies gets its own row of windows.
+
+Words are compared by 64-bit hashes, segments by 128 bits and their words,
+texts by MD5.
 
 Defined results: a null text has no words; texts shorter than a window lose
 nothing; repeated rows repeat each other and so lose every full window; long
 texts are read whole; an empty table gives an empty result. Other columns
-never clash, as only id and text are read.
+never clash, as only id and text are read. The rows may come in any order and
+be computed anew at any time, as nothing depends on their place.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.fmindex import FMIndex
-from tidelog.llm.shared import settle
+from tidelog.llm.shared import settle, within
 from tidelog.llm.words import BLANK, U64, Words, mix, ngrams, steps
 
 SHINGLE = 8
-#: Bits of the anchors' bitmap (16 MB) and of the documents' bitmap (4 MB).
-ANCHOR_BITS, ROW_BITS = 1 << 27, 1 << 25
-#: Distinct segments of an anchor beyond which it is dealt by windows; words in one index.
-HEAVY, SHARD_WORDS = 2048, 400_000
+#: Bits of the bitmaps of anchors and of windows (16 MB each), of anchors with many segments (1 MB) and of texts (4 MB).
+ANCHOR_BITS, WINDOW_BITS, COMMON_BITS, TEXT_BITS = 1 << 27, 1 << 27, 1 << 23, 1 << 25
+#: Segments of an anchor beyond which windows are counted; distinct segments beyond which it is dealt by windows; words in one index.
+COMMON, HEAVY, SHARD_WORDS = 256, 1024, 400_000
+#: Copies of a text in one part; buckets of texts whose greatest number of parts is shipped (at most that many rows).
+PART, PART_BUCKETS = 256, 1 << 16
 
 
 def _anchors(h: np.ndarray, words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,50 +80,91 @@ def _bit(h: np.ndarray, bits: int) -> np.ndarray:
     return (h & U64(bits - 1)).astype(np.int64)
 
 
-def _counted(docs: DataFrame, window: int) -> DataFrame:
-    """anchor and how often it occurs."""
+def _scan(texts: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` over slices of (digest, text, weight): gets the slice, its words and their hashes and yields columns."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def count(batches):
+    def scan(batches):
         for batch in batches:
             for part in steps(batch, "text"):
                 words = Words(part.column("text"), BLANK)
-                g, n = np.unique(_anchors(words.hashes(), words, window)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.view(np.int64)) for x in run(part, words, words.hashes())], names=names)
+
+    return texts.mapInArrow(scan, schema)
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys and the sums of their values."""
+    keys, which = np.unique(keys, return_inverse=True)
+    return [keys, *(np.bincount(which, weights=v, minlength=len(keys)).astype(np.int64) for v in values)]
+
+
+def _counted(texts: DataFrame, window: int) -> DataFrame:
+    """anchor, how often it occurs in all rows (n) and in different texts (segments)."""
 
-    return docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    def count(part, words, h):
+        g, _, _, doc = _anchors(h, words, window)
+        return _summed(g, np.asarray(part.column("weight"))[doc], np.ones(len(g)))
 
+    return _scan(texts, count, "anchor long, n long, segments long").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("segments").alias("segments"))
 
-def _bitmap(anchors: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the anchors; its size is fixed, whatever their number."""
-    place = F.col("anchor").bitwiseAND(F.lit(bits - 1)) + 1
-    parts = anchors.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    out = np.zeros(bits // 8, np.uint8)
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the column ``key``; its size is fixed, whatever their number."""
+    place = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
     for r in parts.toLocalIterator():
         at = (r.part - 1) * 4096
         out[at : at + 4096] |= np.frombuffer(bytes(r.bits).ljust(4096, b"\0"), np.uint8)
     return out
 
 
-def _segments(docs: DataFrame, window: int, bitmap: np.ndarray, bits: int) -> DataFrame:
-    """Segments whose anchor may repeat: anchor, two keys of the words, row, first window, text."""
+def _in(bitmap: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    at = (h & U64(bits - 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7)) & 1 == 1
 
-    def cut(batches):
-        for batch in batches:
-            for part in steps(batch, "text"):
-                words = Words(part.column("text"), BLANK)
-                h = words.hashes()
-                g, start, n, doc = _anchors(h, words, window)
-                at = _bit(g, bits)
-                keep = (bitmap[at >> 3] >> (at & 7)) & 1 == 1
-                g, start, n, doc = g[keep], start[keep], n[keep], doc[keep]
-                end = start + n + window - 1
-                keys = [_stretch(h, start, end, salt) for salt in (3, 7)]
-                raw = words.raw.tobytes()
-                texts = [raw[a:b] for a, b in zip(words.start[start].tolist(), words.end[end - 1].tolist(), strict=True)]
-                rid = np.asarray(part.column("rid"))[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *(pa.array(k.view(np.int64)) for k in keys), pa.array(rid), pa.array(start - words.first[doc]), pa.array(texts, pa.binary())], names=["anchor", "key1", "key2", "rid", "at", "words"])
 
-    return docs.mapInArrow(cut, "anchor long, key1 long, key2 long, rid long, at long, words binary")
+def _each_window(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which segment, and the first word, of each window of segments."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + start[which]
+
+
+def _window_counts(texts: DataFrame, window: int, common: np.ndarray) -> DataFrame:
+    """key of each window of common anchors, and how often it occurs."""
+
+    def count(part, words, h):
+        g, start, n, doc = _anchors(h, words, window)
+        keep = _in(common, COMMON_BITS, g)
+        which, at = _each_window(start[keep], n[keep])
+        return _summed(_stretch(h, at, at + window, 13), np.asarray(part.column("weight"))[doc[keep]][which])
+
+    return _scan(texts, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _segments(texts: DataFrame, window: int, anchors: np.ndarray, bits: int, common: np.ndarray | None, windows: np.ndarray | None) -> DataFrame:
+    """Segments that may repeat: anchor, two keys of the words, text's digest, first window, weight, words."""
+
+    def cut(part, words, h):
+        g, start, n, doc = _anchors(h, words, window)
+        keep = _in(anchors, bits, g)
+        g, start, n, doc = g[keep], start[keep], n[keep], doc[keep]
+        if common is not None:
+            hot = _in(common, COMMON_BITS, g)
+            which, at = _each_window(start[hot], n[hot])
+            ok = _in(windows, WINDOW_BITS, _stretch(h, at, at + window, 13))
+            which, at = which[ok], at[ok]
+            new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (which[1:] != which[:-1])]) if len(at) else np.empty(0, np.int64)
+            rest = [x[hot][which[new]] for x in (g, doc)]
+            g, start, n, doc = (np.r_[x[~hot], y] for x, y in zip((g, start, n, doc), (rest[0], at[new], np.diff(np.r_[new, len(at)]), rest[1]), strict=True))
+        end = start + n + window - 1
+        raw = words.raw.tobytes()
+        texts_ = [raw[a:b] for a, b in zip(words.start[start].tolist(), words.end[end - 1].tolist(), strict=True)]
+        digest, weight = (part.column(c).take(pa.array(doc, pa.int64())) for c in ("digest", "weight"))
+        return [g, _stretch(h, start, end, 3), _stretch(h, start, end, 7), digest, start - words.first[doc], weight, pa.array(texts_, pa.binary())]
+
+    return _scan(texts, cut, "anchor long, key1 long, key2 long, digest binary, at long, weight long, words binary")
 
 
 def _stretch(h: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
@@ -140,8 +191,11 @@ def _searched(rows: DataFrame, window: int) -> DataFrame:
     def search(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(group).combine_chunks()
         words = _binary_words(table.column("words").combine_chunks())
-        index = FMIndex(words.hashes(), words.count, np.asarray(table.column("weight")), window)
-        which, place = index.repeated()
+        h = words.hashes()
+        index = FMIndex(h, words.count, np.asarray(table.column("weight")))
+        at = np.flatnonzero(index.statistics(h, words.count) >= window)
+        which = np.searchsorted(words.first, at, side="right") - 1
+        place = at - words.first[which]
         masks = np.zeros(len(words.count), np.int64)
         np.bitwise_or.at(masks, which, np.int64(1) << place)
         hit = masks != 0
@@ -191,38 +245,56 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("anchor", "key1", "key2", "weight", "words").mapInArrow(cut, "anchor long, of1 long, of2 long, weight long, bit long, key1 long, key2 long, words binary")
 
 
-def repeats(docs: DataFrame, window: int, anchor_bits: int = ANCHOR_BITS) -> DataFrame:
-    """docs: rid, text. Settled: rid and its repeated windows, as (at, mask) of segments."""
-    anchors = _counted(docs, window).where("n > 1")
-    segments = settle(_segments(docs, window, _bitmap(anchors, anchor_bits), anchor_bits), "segments")
-    distinct = settle(segments.groupBy("anchor", "key1", "key2", "words").agg(F.count("*").alias("weight")), "distinct")
-    heavy = settle(distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("weight").alias("all")).where("all > 1"), "anchors")
-    named = distinct.join(heavy, "anchor")
+def repeats(texts: DataFrame, window: int, anchor_bits: int = ANCHOR_BITS, common: int = COMMON, heavy: int = HEAVY) -> DataFrame:
+    """texts: digest, text, weight. Settled: digest and its repeated windows, as (at, mask) of segments."""
+    anchors = settle(_counted(texts, window).where("n > 1"), "anchors")
+    often, hot, windows = anchors.where(F.col("segments") > common), None, None
+    if not often.isEmpty():
+        hot = _bitmap(often.select(F.col("anchor").alias("key")), COMMON_BITS)
+        windows = _bitmap(_window_counts(texts, window, hot).where("n > 1"), WINDOW_BITS)
+    bitmap = _bitmap(anchors.select(F.col("anchor").alias("key")), anchor_bits)
+    segments = settle(_segments(texts, window, bitmap, anchor_bits, hot, windows), "segments")
+    distinct = settle(segments.groupBy("anchor", "key1", "key2", "words").agg(F.sum("weight").alias("weight")), "distinct")
+    many = settle(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("anchor"), "heavy")
     zero = F.lit(0).cast("long").alias("salt")
-    light = _searched(named.where(F.col("n") <= HEAVY).select("anchor", zero, "key1", "key2", "words", "weight"), window)
-    masks = settle(light, "masks")
-    if not heavy.where(F.col("n") > HEAVY).isEmpty():
-        cut = settle(_windows(named.where(F.col("n") > HEAVY), window), "windows")
+    split = not many.isEmpty()
+    light = distinct.join(many, "anchor", "left_anti") if split else distinct
+    masks = settle(_searched(light.select("anchor", zero, "key1", "key2", "words", "weight"), window), "masks")
+    if split:
+        cut = settle(_windows(distinct.join(many, "anchor", "left_semi"), window), "windows")
         own = cut.groupBy("anchor", "key1", "key2", "words").agg(F.sum("weight").alias("weight")).withColumn("salt", F.pmod(F.col("key1"), F.lit(1 << 20)))
         twice = _searched(own, window).select("key1", "key2")
         more = cut.join(twice, ["key1", "key2"], "left_semi").groupBy("of1", "of2").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("mask"))
         masks = settle(masks.unionAll(more.select(F.col("of1").alias("key1"), F.col("of2").alias("key2"), "mask")), "masks")
-    hits = segments.select("key1", "key2", "rid", "at").join(masks, ["key1", "key2"])
-    return settle(hits.groupBy("rid").agg(F.collect_list(F.struct("at", "mask")).alias("windows")), "hits")
+    hits = segments.select("key1", "key2", "digest", "at").join(masks, ["key1", "key2"])
+    return settle(hits.groupBy("digest").agg(F.collect_list(F.struct("at", "mask")).alias("windows")), "hits")
+
+
+def _distinct(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """digest, text and weight of each different text; rows whose text cannot have a copy come straight from their scan."""
+    flagged = within(rows.select("digest", "text"), copies, F.xxhash64("digest"), TEXT_BITS)
+    several = flagged.where("flag").groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("weight"))
+    return flagged.where("NOT flag").select("digest", "text", F.lit(1).cast("long").alias("weight")).unionAll(settle(several, "several"))
+
+
+def _parts(digest: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(PART_BUCKETS)).cast("int")
 
 
-def removed(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text", anchor_bits: int = ANCHOR_BITS) -> DataFrame:
+def removed(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text", anchor_bits: int = ANCHOR_BITS, common: int = COMMON, heavy: int = HEAVY) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, intervals of removed words, and the kept words joined by one space (kept, kept_sha256)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hits = repeats(rows.select("rid", "text"), window, anchor_bits)
-    place = F.pmod(F.xxhash64("rid"), F.lit(ROW_BITS))
-    bits = hits.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bit = F.bitmap_bit_position(place).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    flag = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0, F.lit(False))
-    flagged = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("part"), "left").select("rid", "doc_id", "text", flag.alias("hit"))
-    some = flagged.where("hit").drop("hit").join(hits, "rid", "left").select("doc_id", "text", "windows")
-    none = flagged.where("NOT hit").select("doc_id", "text", F.lit(None).cast(hits.schema["windows"].dataType).alias("windows"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+    copies = settle(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    hits = repeats(_distinct(rows.where("text != ''"), copies), window, anchor_bits, common, heavy)
+    # Texts with many copies: the copies are dealt to parts, and each part gets the windows of its text.
+    parts = F.broadcast(copies.where(F.col("n") > PART).groupBy(_parts(F.col("digest")).alias("bucket")).agg(F.max(F.ceil(F.col("n") / PART)).alias("parts")))
+    dealt = lambda df: df.withColumn("bucket", _parts(F.col("digest"))).join(parts, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).drop("bucket")
+    flagged = within(rows, hits, F.xxhash64("digest"), TEXT_BITS)
+    owners = dealt(flagged.where("flag").drop("flag")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
+    windows = dealt(hits).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    some = owners.join(windows, ["digest", "part"], "left").select("doc_id", "text", "windows")
+    none = flagged.where("NOT flag").select("doc_id", "text", F.lit(None).cast(hits.schema["windows"].dataType).alias("windows"))
 
     def drop(batches):
         for batch in batches:
