@@ -92,6 +92,27 @@ def test_chains_and_odd_rows(spark, frame, monkeypatch):
     assert neardup.groups(data.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_large_mixed_buckets(spark, monkeypatch, block):
+    """Clusters whose members share a long part, so that buckets hold several components of many sizes."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(block)
+    word = lambda: f"w{rng.randrange(9000)}"
+    common, docs = [word() for _ in range(100)], []
+    for cluster, members in enumerate([60, 25, 9, 3, 1, 1, 1]):
+        own = [word() for _ in range(30)]
+        for i in range(members):
+            line = [*common, *own]
+            for _ in range(rng.randrange(3)):
+                line[rng.randrange(100, 130)] = word()
+            docs.append((1000 * cluster + i, " ".join(line)))
+    rng.shuffle(docs)
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    got = rows(neardup.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), size=3, percent=85))
+    assert got == brute(docs, 3, 85)
+    assert 1 < len({c for _, _, c, _ in got}) < len(docs) // 2
+
+
 def test_minima_estimate_similarity():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))

@@ -4,13 +4,16 @@
    universal-hash minima of it, and one key for each band of minima.
 2. Documents of equal sets form a class by aggregation; one stands for it.
 3. In each bucket (documents that share a band's key) every member is compared
-   with the least one: minima first, then the full sets. Members stream past
-   the centre, so a bucket of any size needs the memory of two documents, and
-   its stream is dealt to as many tasks as its size asks for.
+   with the least one: minima first, then the full sets of those that are
+   left. Members stream past the centre, so a bucket of any size needs the
+   memory of two documents, and its stream is dealt to as many tasks as its
+   size asks for.
 4. Verified links become components (large-star, small-star).
 5. Buckets that still hold several components are searched for the links that
-   step 3 did not try, block against block, skipping pairs already connected
-   and pairs that an earlier band brings together; new links join components.
+   step 3 did not try: members of all but the bucket's largest component stream
+   past each block of its members, minima first, then the full sets of those
+   that are left, skipping pairs already connected and pairs that an earlier
+   band brings together; new links join components.
 
 A link is missed only if no band of minima agrees: at similarity 0.85 with 25
 bands of 5, once in two million; no bucket is capped.
@@ -37,8 +40,8 @@ BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 #: Share of equal minima below which full sets are not compared: six deviations under the threshold.
 SLACK = 6.0
-#: Members of a bucket in one stream, and in one block of step 5.
-STREAM, BLOCK = 256, 256
+#: Members of a bucket in one stream, and in one block of step 5; members that are compared with a block at once.
+STREAM, BLOCK, AT_ONCE = 256, 256, 64
 #: Parts that a bucket's members are dealt to where they meet the list of mixed buckets.
 SALTS = 16
 _LAST = (1 << 63) - 1
@@ -130,97 +133,198 @@ def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return within(rows, wanted, F.xxhash64("rid"), FILTER_BITS).where("flag").drop("flag")
 
 
+def _streams(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The centre of each stream, then its members, with columns of their rows."""
+    sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("streams"))
+    some = _only(rows.select("rid", *columns), pairs.select("rid").unionAll(pairs.select(F.col("centre").alias("rid"))))
+    member = pairs.join(sizes, "centre").join(some, "rid").select("centre", F.pmod(F.xxhash64("rid"), F.col("streams")).cast("int").alias("stream"), F.lit(1).alias("kind"), "rid", *columns)
+    centre = sizes.join(some, F.col("centre") == F.col("rid")).withColumn("stream", F.explode(F.sequence(F.lit(0), F.col("streams") - 1))).select("centre", "stream", F.lit(0).alias("kind"), "rid", *columns)
+    return centre.unionAll(member).repartition("centre", "stream").sortWithinPartitions("centre", "stream", "kind")
+
+
 def _star_links(pairs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
     """Of (centre, rid) pairs, those whose sets are alike."""
     least = _least_equal(percent)
-    sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("streams"))
-    texts = _only(signed.select("rid", "minima", "text"), pairs.select("rid").unionAll(pairs.select(F.col("centre").alias("rid"))))
-    member = pairs.join(sizes, "centre").join(texts, "rid").select("centre", F.pmod(F.xxhash64("rid"), F.col("streams")).cast("int").alias("stream"), F.lit(1).alias("kind"), "rid", "minima", "text")
-    centre = sizes.withColumn("stream", F.explode(F.sequence(F.lit(0), F.col("streams") - 1))).join(texts, F.col("centre") == F.col("rid")).select("centre", "stream", F.lit(0).alias("kind"), "rid", "minima", "text")
-    rows = centre.unionAll(member).repartition("centre", "stream").sortWithinPartitions("centre", "stream", "kind")
+
+    def estimate(batches):
+        own = name = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sign_ = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint8).reshape(batch.num_rows, HASHES)
+            marks = []
+            for i, (kind, centre, rid) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "centre", "rid")), strict=True)):
+                if kind == 0:
+                    own, name = sign_[i].copy(), centre
+                elif name == centre and np.count_nonzero(sign_[i] == own) >= least:
+                    marks.append((centre, rid))
+            if marks:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*marks, strict=True)], names=["centre", "rid"])
 
     def verify(batches):
-        own = own_set = name = None
+        own_set = name = None
         for batch in batches:
             for part in steps(batch, "text"):
-                kinds, centres, rids = (part.column(c).to_pylist() for c in ("kind", "centre", "rid"))
-                sign_ = np.frombuffer(b"".join(part.column("minima").to_pylist()), np.uint8).reshape(len(kinds), HASHES)
-                wanted, marks = [], []
-                for i, kind in enumerate(kinds):
+                marks = []
+                for kind, centre, rid, own in zip(*(part.column(c).to_pylist() for c in ("kind", "centre", "rid")), shingles(part.column("text"), size), strict=True):
                     if kind == 0:
-                        own, name = sign_[i].copy(), centres[i]
-                        wanted.append(i)
-                    elif name == centres[i] and (sign_[i] == own).sum() >= least:
-                        wanted.append(i)
-                for i, s in zip(wanted, shingles(part.column("text").take(pa.array(wanted, pa.int64())), size), strict=True):
-                    if kinds[i] == 0:
-                        own_set = s
-                    elif alike(own_set, s, percent):
-                        marks.append((centres[i], rids[i]))
+                        own_set, name = own, centre
+                    elif name == centre and alike(own_set, own, percent):
+                        marks.append((centre, rid))
                 if marks:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*marks, strict=True)], names=["a", "b"])
 
-    return rows.mapInArrow(verify, "a long, b long")
+    likely = settle(_streams(pairs, signed, "minima").mapInArrow(estimate, "centre long, rid long"), "likely")
+    return _streams(likely, signed, "text").mapInArrow(verify, "a long, b long")
+
 
+class _Cell:
+    """A block of a bucket's members, past which members of smaller components stream."""
 
-def _block_links(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between components within a bucket; rows: bucket, low, high (blocks), rid, root, block, n, minima, bands, text."""
-    least = _least_equal(percent)
+    def __init__(self, percent: int):
+        self.least, self.percent = _least_equal(percent), percent
+        self.key, self.parts = None, []
+
+    def hold(self, rows: dict) -> None:
+        self.parts.append(rows)
+
+    def close(self) -> dict:
+        if len(self.parts) > 1:
+            self.parts = [{c: np.concatenate([p[c] for p in self.parts]) for c in self.parts[0]}]
+        return self.parts[0]
+
+    def likely(self, rows: dict, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """(passing row, member of the block) of pairs whose minima agree enough; of two small ones, once."""
+        own, found = self.close(), []
+        for at in range(0, len(rows["rid"]), AT_ONCE):
+            a = {c: v[at : at + AT_ONCE] for c, v in rows.items()}
+            ok = (a["root"][:, None] != own["root"]) & (100 * np.minimum(a["n"][:, None], own["n"]) >= self.percent * np.maximum(a["n"][:, None], own["n"]))
+            ok &= ~own["small"] | (a["rid"][:, None] < own["rid"])
+            for k in range(band):
+                ok &= a["bands"][:, k, None] != own["bands"][:, k]
+            i, j = np.nonzero(ok)
+            near = np.count_nonzero(a["minima"][i] == own["minima"][j], axis=1) >= self.least
+            found.append((i[near] + at, j[near]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+CELL = "bucket long, cell int, kind int, rid long, root long, small boolean, n long, bands array<long>, minima binary"
+
+
+def _cells(rows: DataFrame, run) -> DataFrame:
+    """``run`` over each cell: rows of its members (kind 0), then of those that pass (kind 1), as (cell, kind, arrays, batch)."""
+
+    def scan(batches):
+        def cells():
+            for batch in batches:
+                names = ("bucket", "cell", "kind")
+                key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+                cut = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]) if batch.num_rows else []
+                for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+                    part = batch.slice(a, b - a)
+                    arrays = {c: part.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "root", "small", "n")}
+                    arrays["minima"] = np.frombuffer(b"".join(part.column("minima").to_pylist()), np.uint8).reshape(b - a, HASHES)
+                    arrays["bands"] = part.column("bands").flatten().to_numpy().reshape(b - a, BANDS)
+                    yield tuple(key[:, a].tolist()), arrays, part
 
-    def search(group: dict) -> list[tuple[int, int]]:
-        n, root, block = (np.array(group[c], np.int64) for c in ("n", "root", "block"))
-        sign_ = np.frombuffer(b"".join(group["minima"]), np.uint8).reshape(len(n), HASHES)
-        bands = np.array(group["bands"], np.int64)
-        band = int(np.flatnonzero(bands[0] == group["bucket"][0])[0])
-        cross = group["low"][0] != group["high"][0]
-        names = {r: r for r in root.tolist()}
+        yield from run(cells())
+
+    return rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "kind").mapInArrow(scan, run.schema)
+
+
+def _band(bucket: int, arrays: dict) -> int:
+    return int(np.flatnonzero(arrays["bands"][0] == bucket)[0])
+
+
+def _estimate(percent: int):
+    """Rows of cells that take part in a pair whose minima agree enough."""
+
+    def run(cells):
+        cell, hit, held = _Cell(percent), None, []
+
+        def answer():
+            for part, at in zip(held, np.split(hit, np.cumsum([p.num_rows for p in held])[:-1]), strict=True):
+                if at.any():
+                    yield part.filter(pa.array(at))
+
+        for (*key, kind), arrays, part in cells:
+            if key != cell.key:
+                if hit is not None:
+                    yield from answer()
+                cell, hit, held = _Cell(percent), None, []
+                cell.key = key
+            if kind == 0:
+                cell.hold(arrays)
+                held.append(part)
+                continue
+            if not cell.parts:
+                continue
+            if hit is None:
+                hit = np.zeros(len(cell.close()["rid"]), bool)
+            i, j = cell.likely(arrays, _band(key[0], arrays))
+            hit[j] = True
+            if len(i):
+                yield part.take(pa.array(np.unique(i)))
+        if hit is not None:
+            yield from answer()
+
+    run.schema = CELL
+    return run
+
+
+def _verify(size: int, percent: int):
+    """Links between components, as pairs of roots, of pairs whose sets are alike."""
+
+    def run(cells):
+        cell, sets, names = _Cell(percent), [], {}
 
         def find(x):
-            while names[x] != x:
+            while names.setdefault(x, x) != x:
                 names[x] = names[names[x]]
                 x = names[x]
             return x
 
-        sets: dict[int, np.ndarray] = {}
-        out = []
-        for i in range(len(n) - 1):
-            rest = slice(i + 1, None)
-            ok = (root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-            if cross:
-                ok &= block[rest] != block[i]
-            if band:
-                ok &= ~(bands[rest, :band] == bands[i, :band]).any(axis=1)
-            js = np.flatnonzero(ok) + i + 1
-            for j in js[(sign_[js] == sign_[i]).sum(axis=1) >= least].tolist():
-                a, b = find(int(root[i])), find(int(root[j]))
+        for (*key, kind), arrays, part in cells:
+            if key != cell.key:
+                cell, sets, names = _Cell(percent), [], {}
+                cell.key = key
+            if kind == 0:
+                cell.hold(arrays)
+                sets += shingles(part.column("text"), size)
+                continue
+            if not cell.parts:
+                continue
+            i, j = cell.likely(arrays, _band(key[0], arrays))
+            own, roots, out, last, mine = None, cell.close()["root"].tolist(), [], -1, arrays["root"].tolist()
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                a, b = find(mine[x]), find(roots[y])
                 if a == b:
                     continue
-                for k in (i, j):
-                    if k not in sets:
-                        sets[k] = shingles(pa.array([group["text"][k]], pa.large_string()), size)[0]
-                if alike(sets[i], sets[j], percent):
+                if x != last:
+                    own, last = shingles(part.column("text").slice(x, 1), size)[0], x
+                if alike(own, sets[y], percent):
                     names[max(a, b)] = min(a, b)
-                    out.append((int(root[i]), int(root[j])))
-        return out
+                    out.append((mine[x], roots[y]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    columns = ["bucket", "low", "high", "rid", "root", "block", "n", "minima", "bands", "text"]
+    run.schema = "a long, b long"
+    return run
 
-    def run(batches):
-        now, group = None, {c: [] for c in columns}
-        for batch in batches:
-            data = {c: batch.column(c).to_pylist() for c in columns}
-            for i, key in enumerate(zip(data["bucket"], data["low"], data["high"], strict=True)):
-                if key != now and now is not None:
-                    if found := search(group):
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-                    group = {c: [] for c in columns}
-                now = key
-                for c in columns:
-                    group[c].append(data[c][i])
-        if now is not None and (found := search(group)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    return rows.select(columns).repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(run, "a long, b long")
+def _block_links(named: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components within a bucket; named: bucket, members, rid, root."""
+    sizes = settle(named.groupBy("bucket", "root").agg(F.count("*").alias("k")), "roots")
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("most.root").alias("big"))
+    mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rows = named.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS))).join(mixed, ["bucket", "salt"])
+    rows = settle(rows.select("bucket", "rid", "root", (F.col("root") != F.col("big")).alias("small"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = rows.join(_only(signed.select("rid", "n", "bands", "minima"), rows), "rid")
+    own = rows.withColumn("cell", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("kind", F.lit(0))
+    past = rows.where("small").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
+    columns = ["bucket", "cell", "kind", "rid", "root", "small", "n", "bands", "minima"]
+    likely = settle(_cells(own.select(columns).unionAll(past.select(columns)), _estimate(percent)), "likely")
+    return _cells(likely.join(_only(signed.select("rid", "text"), likely), "rid").select(*columns, "text"), _verify(size, percent))
 
 
 def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -240,14 +344,7 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "
     roots = components(_star_links(pairs, signed, size, percent))
 
     named = shared.where("members > 2").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "members", "rid", F.coalesce("root", "rid").alias("root"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket")
-    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS))
-    mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    blocked = named.withColumn("salt", salt).join(mixed, ["bucket", "salt"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = settle(blocked.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rid", "root", "block"), "blocks")
-    texts = _only(signed.select("rid", "n", "minima", "bands", "text"), blocked.select("rid"))
-    more = settle(_block_links(blocked.join(texts, "rid"), size, percent), "links")
+    more = settle(_block_links(named, signed, size, percent), "links")
     if not more.isEmpty():
         upper = components(more)
         every = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
