@@ -1,3 +1,4 @@
+import random
 import re
 
 import regex
@@ -51,9 +52,9 @@ def test_format_gender_script_and_coreference(spark, frame):
             assert shape(a.replace("ö", "o")) == shape(b), (a, b)
     assert mapping["+1 (743) 555-3824"].startswith("+1 (")
     assert luhn(mapping["4111111111111111"]) == 0 and luhn(mapping["4785380592391139"]) == luhn("4785380592391139")
-    assert mapping["10.1.2.3"].startswith("10.") and mapping["Frau Anna Weiß"].split()[1] in S.NAMES["female"] and mapping["Mr John Smith"].split()[1] in S.NAMES["male"]
-    assert any(mapping["Г-жа Иванова"].split()[1].startswith(x) for x in S.NAMES["family_cyrillic"])
-    assert mapping["Mrs Smith"].split()[1][:4] == mapping["Mr John Smith"].split()[2][:4]
+    assert mapping["10.1.2.3"].startswith("10.") and mapping["Frau Anna Weiß"].split()[1].endswith(tuple(S.SYLLABLES[""][2]["female"])) and mapping["Mr John Smith"].split()[1].endswith(tuple(S.SYLLABLES[""][2]["male"]))
+    assert mapping["Г-жа Иванова"].split()[1].endswith(tuple(f"{x}а" for x in S.SYLLABLES["_cyrillic"][2]["family"]))
+    assert mapping["Mrs Smith"].split()[1] == mapping["Mr John Smith"].split()[2]
     assert {r.text for r in S.replace(docs, key="other").collect()} != {r.text for r in rows}
     assert S.replace(docs.limit(0)).count() == 0
 
@@ -97,3 +98,81 @@ def test_international_phones_ipv6_and_bare_names(spark, frame):
         assert rows[n + len(sixes) + i].text == old
     given, family = re.search(r"Mr (\S+) (\S+) came", (last := rows[n + len(sixes) + len(clean)]).text).groups()
     assert last.text == f"{family} wrote. Mr {given} {family} came. {family} sat, {given} left, Smithson stayed." and last.n_person == 1
+
+
+ONE = {
+    "writings": ["Mail Jan.Ok@Mail.org or jan.ok@mail.org", "+49 30 1234567 or (030) 1234567 or +49 (0)30 123 4567", "DE89 3704 0044 0532 0130 00 or DE89370400440532013000", "4111 1111 1111 1111 or 4111-1111-1111-1111"],
+}
+
+
+def test_all_writings_of_an_entity_agree(spark, frame):
+    rows = {r.doc_id: r for r in S.replace(frame(list(enumerate(ONE["writings"])))).collect()}
+    a, b = rows[0].text[5:].split(" or ")
+    assert a.lower() == b and a != b and a[0].isupper() and rows[0].n_email == 2
+    digits = [re.sub(r"[^0-9]", "", x) for x in rows[1].text.split(" or ")]
+    assert digits[0][2:] == digits[1][1:] == digits[2][3:] != "301234567" and [x[:2] for x in digits] == ["49", "0" + digits[1][1], "49"] and rows[1].n_phone == 3
+    a, b = rows[2].text.split(" or ")
+    assert a.replace(" ", "") == b != "DE89370400440532013000" and a.startswith("DE") and int(b[4:] + "1314" + b[2:4]) % 97 == 1
+    a, b = rows[3].text.split(" or ")
+    assert a.replace(" ", "") == b.replace("-", "") != "4111111111111111" and luhn(a) == 0
+
+
+def test_invalid_accounts_stay_invalid(spark, frame):
+    rows = S.replace(frame([(i, f"DE{i:02d} 3704 0044 0532 0130 00") for i in range(97) if i != 89])).collect()
+    for r in rows:
+        b = r.text.replace(" ", "")
+        assert r.n_iban == 1 and int(b[4:] + "1314" + b[2:4]) % 97 != 1
+
+
+def test_introduced_names_and_family_forms(spark, frame):
+    texts = ["My name is John Smith. Smith it is.", "Mr John Brown met John. Contact: Mary Ann", "Г-н Иванов и Г-жа Иванова", "Dear Sir or Madam", "почта иван@пример.рф", "Mr Green, Mrs Smith"]
+    rows = {r.doc_id: r for r in S.replace(frame(list(enumerate(texts)))).collect()}
+    given, family = re.search(r"name is (\S+) (\S+)\.", rows[0].text).groups()
+    assert rows[0].text == f"My name is {given} {family}. {family} it is." and rows[0].n_person == 1 and family != "Smith"
+    assert rows[1].text.split()[1] == given == rows[1].text.split()[4].rstrip(".") and rows[1].n_person == 2
+    assert given.endswith(tuple(S.SYLLABLES[""][2]["male"]))
+    assert re.fullmatch(r"Г-н (\w+) и Г-жа \1а", rows[2].text) and "Иванов" not in rows[2].text
+    assert rows[3].text == texts[3]
+    assert regex.fullmatch(r"почта \p{Cyrillic}{4}@\p{Cyrillic}{6}\.рф", rows[4].text) and rows[4].text != texts[4]
+    assert rows[5].text.split()[-1] == family and rows[5].text.split()[1].rstrip(",") not in (family, "Smith", "Green")
+
+
+def test_every_entity_passes_the_hint():
+    """Strings made from the patterns' own parts: whatever ANY finds, HINT finds."""
+    rng, hint, any_ = random.Random(1), regex.compile(S.HINT), regex.compile(S.ANY)
+    parts = ["12", "7", "(030)", "+49", " ", "-", ".", "/", ":", "::", "AB", "DE89", "a@b.co", "fe80", "Mr", "Frau ", "Smith", "John", "Dear ", "name is ", "555-3824", "10.1.2.3", "4111", "0"]
+    found = 0
+    for _ in range(30_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
+        if any_.search(text):
+            found += 1
+            assert hint.search(text), text
+    assert found > 3000
+
+
+def brute_counts(text):
+    """Entities by type, found one after another."""
+    out = dict.fromkeys(S.PATTERNS, 0)
+    for value in entities(text):
+        out[next((k for k, p in S.PATTERNS.items() if regex.fullmatch(p, value)), "person")] += 1
+    return out
+
+
+def test_counts_and_texts_match_brute_force(spark, frame):
+    """Counts by type; texts rebuilt from the table of surrogates and the bare words of names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(frame(list(enumerate(TEXTS, 10_000_000))).select("doc_id", "text"))
+    rows, before = {r.doc_id: r for r in S.replace(docs).collect()}, {r.doc_id: r.text for r in docs.collect()}
+    values = spark.createDataFrame([(v,) for v in {v for t in before.values() for v in entities(t)}], "value string")
+    table = {r.value: r.surrogate for r in S.assign(values, "tidelog").collect()}
+    parts = lambda v: regex.sub(rf"^(?:{S._TITLES})\.? ", "", v).split(" ")
+    for i, text in before.items():
+        assert {k: rows[i][f"n_{k}"] for k in S.PATTERNS} == brute_counts(text)
+        if text is None:
+            continue
+        own = entities(text)
+        pieces = [p or "" for p in regex.split(S.ANY, text)]
+        people = [v for v in own if regex.fullmatch(S.PATTERNS["person"], v)]
+        words = dict.fromkeys((a, b) for v in people for a, b in zip(parts(v), parts(table[v]), strict=True))
+        for a, b in words:
+            pieces = [regex.sub(rf"(?<![\p{{L}}\p{{N}}]){a}(?![\p{{L}}\p{{N}}])", b, p) for p in pieces]
+        assert rows[i].text == "".join(x for pair in zip(pieces, [*(table[v] for v in own), ""], strict=True) for x in pair)
