@@ -107,8 +107,7 @@ class FMIndex:
         """The nearest position from ``at`` on, back or forth, whose common prefix is shorter than ``depth``."""
         out, block = at.copy(), at // _BLOCK
         todo = np.flatnonzero(self.lcp[at] >= depth)
-        within, step = np.arange(_BLOCK), -1 if back else 1
-        first = True
+        within, first = np.arange(_BLOCK), True
         while len(todo):
             rows = self.lcp[block[todo, None] * _BLOCK + within] < depth[todo, None]
             if first:
@@ -117,10 +116,9 @@ class FMIndex:
             place = _BLOCK - 1 - rows[:, ::-1].argmax(axis=1) if back else rows.argmax(axis=1)
             out[todo[hit]] = block[todo[hit]] * _BLOCK + place[hit]
             todo, first = todo[~hit], False
-            block[todo] += step
-            far = todo  # skip blocks whose least is not smaller
-            while len(far := far[self.least[block[far]] >= depth[far]]):
-                block[far] += step
+            for d in np.unique(depth[todo]).tolist():  # on to the next block whose least is smaller
+                some, blocks = todo[depth[todo] == d], np.flatnonzero(self.least < d)
+                block[some] = blocks[np.searchsorted(blocks, block[some]) - 1] if back else blocks[np.searchsorted(blocks, block[some], side="right")]
         return out
 
     def parent(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
