@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udf
-from pyspark.sql.types import ArrayType, StringType
 
 _BLANK = r"[ \t\n\x0B\f\r]"
 
@@ -34,24 +32,11 @@ def repl(line: Column) -> Column:
     return F.struct(name.alias("command"), F.when(name.isin("SET", "GET", "DEL") & problem.isNull(), key).alias("key"), value.alias("value"), problem.alias("error"))
 
 
-@udf(ArrayType(StringType()))
-def quoted_tokens(line: str) -> list | None:
+#: A word of a client's line: quotes may open anywhere, hold spaces, and need not close.
+QUOTED = r'(?:[^ "]|"[^"]*(?:"|$))+'
+
+
+def quoted_tokens(line: Column) -> Column:
     """Words between spaces; quotes toggle and vanish, so a quoted space joins and an empty pair gives nothing."""
-    if line is None:
-        return None
-    out, word, inside = [], "", False
-    for c in line:
-        if c == '"':
-            inside = not inside
-        elif c == " " and not inside:
-            out += [word] if word else []
-            word = ""
-        else:
-            word += c
-    return out + ([word] if word else [])
-
-
-def quoted_tokens_balanced(line: Column) -> Column:
-    """The same in the JVM, for lines whose quotes are balanced."""
-    found = F.regexp_extract_all(line, F.lit(r'((?:[^ "]|"[^"]*")+)'), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(QUOTED), F.lit(0))
     return F.filter(F.transform(found, lambda x: F.replace(x, F.lit('"'), F.lit(""))), lambda x: x != "")

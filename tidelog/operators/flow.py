@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Frequencies in tenths, and windows that are composed together.
+LEAST, MOST, GROUP = 5, 20, 4096
+
+
 def token_bucket(requests: DataFrame, rate: int, capacity: int) -> DataFrame:
     """who, seq and whether each request (who, seq, at in microseconds) gets a token.
 
@@ -49,13 +54,32 @@ def adaptive_frequency(ops: DataFrame) -> DataFrame:
 
 
 def adaptive_frequency_running(ops: DataFrame) -> DataFrame:
-    """The frequency (in tenths, 5 to 20) after each window in turn; a row a window is all that is folded."""
+    """The frequency (in tenths, 5 to 20) after each window in turn.
+
+    A window maps each of the 16 frequencies to the next one, and such maps compose: each group of windows is composed on
+    its own, the groups' maps (a row for ``GROUP`` windows) are followed in order, and each group is gone through again from its start.
+    """
+    counts = _counts(ops).select("run", "ratio", F.floor(F.col("run") / GROUP).alias("group"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, tenths, out = rows.sort_values("run"), 10, []
-        for ratio in rows["ratio"]:
-            tenths = max(5, tenths - 1) if ratio > 10 else min(20, tenths + 1) if ratio < 1 else tenths
+    def follow(ratios, tenths):
+        for ratio in ratios:
+            yield (tenths := np.maximum(LEAST, tenths - 1) if ratio > 10 else np.minimum(MOST, tenths + 1) if ratio < 1 else tenths)
+
+    def compose(rows: pd.DataFrame) -> pd.DataFrame:
+        *_, last = follow(rows.sort_values("run")["ratio"], np.arange(LEAST, MOST + 1))
+        return pd.DataFrame({"group": rows["group"][:1], "map": [last.tolist()]})
+
+    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, tenths, out = rows.sort_values("group"), 10, []
+        for own in rows["map"]:
             out.append(tenths)
-        return rows.assign(tenths=out)[["run", "ratio", "tenths"]]
+            tenths = int(own[tenths - LEAST])
+        return rows.assign(start=out)[["group", "start"]]
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("run")
+        return rows.assign(tenths=[int(x) for x in follow(rows["ratio"], int(rows["start"].iloc[0]))])[["run", "ratio", "tenths"]]
 
-    return _counts(ops).select("run", "ratio", F.lit(0).alias("all")).groupBy("all").applyInPandas(fold, "run long, ratio long, tenths int")
+    maps = counts.groupBy("group").applyInPandas(compose, "group long, map array<int>")
+    starts = maps.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(chain, "group long, start int")
+    return counts.join(starts, "group").groupBy("group").applyInPandas(walk, "run long, ratio long, tenths int")

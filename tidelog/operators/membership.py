@@ -33,7 +33,7 @@ def probe(log: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def portable_bits(log: DataFrame) -> DataFrame:
-    """run and how many bits are set at 10 bits a key and 7 seeded hashes that need no UDF."""
+    """run and each bit set at 10 bits a key and 7 seeded hashes, in the JVM: the first 60 bits of the MD5 of seed and key."""
     sized = collapse(log).select("run", "k").join(bloom_parameters(log), "run")
-    places = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.pmod(F.xxhash64("k", i), F.col("a_bits")))
-    return sized.select("run", F.explode(places).alias("position")).distinct().groupBy("run").agg(F.count("*").alias("n_bits"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.conv(F.substring(F.md5(F.concat(i.cast("string"), F.lit(":"), "k").cast("binary")), 1, 15), 16, 10).cast("long") % F.col("a_bits"))
+    return sized.select("run", F.explode(places).alias("position")).distinct()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from tidelog.operators.state import ENTRY_BYTES, newest
 
 SHARDS = 16
 FENCE = 16
+#: Runs whose totals are summed before they are ordered globally.
+GROUP = 1024
 
 
 def collapse(log: DataFrame) -> DataFrame:
@@ -26,16 +30,51 @@ def sharded(log: DataFrame) -> DataFrame:
 def flush_boundaries(log: DataFrame, limit: int) -> DataFrame:
     """seq, k and the flush that takes each mutation, by running bytes over the whole log.
 
-    Running sums within runs, plus the totals of earlier runs: only the run totals (a row a run) are ordered globally.
+    Running sums within runs, within groups of runs and over groups: only the groups' totals (a row for ``GROUP`` runs) are ordered globally.
     """
     sized = log.select("run", "seq", "k", (F.octet_length("k") + F.octet_length("v")).cast("long").alias("size"))
-    totals = sized.groupBy("run").agg(F.sum("size").alias("total"))
-    offsets = totals.select("run", (F.sum("total").over(Window.orderBy("run")) - F.col("total")).alias("offset"))
+    totals = sized.groupBy("run").agg(F.sum("size").alias("total")).withColumn("group", F.floor(F.col("run") / GROUP))
+    groups = totals.groupBy("group").agg(F.sum("total").alias("all"))
+    before = groups.select("group", (F.sum("all").over(Window.orderBy("group")) - F.col("all")).alias("before"))
+    own = F.sum("total").over(Window.partitionBy("group").orderBy("run")) - F.col("total")
+    offsets = totals.join(before, "group").select("run", (own + F.col("before")).alias("offset"))
     within = F.sum("size").over(Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     running = sized.withColumn("within", within).join(offsets, "run")
     return running.select("seq", "k", F.floor((F.col("within") + F.col("offset")) / limit).alias("flush"))
 
 
+def flushes(log: DataFrame, limit: int) -> DataFrame:
+    """shard, seq, k and the flush that takes each mutation: a shard's memtable is closed before the entry that would pass the limit.
+
+    An entry counts key, value and ``ENTRY_BYTES``; one that replaces an entry of the same memtable counts in its place.
+    Rows stream past in order, shard by shard, so a worker holds the sizes of one memtable, which the limit bounds.
+    """
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, flush, held, sizes = None, 0, 0, {}
+        for batch in batches:
+            out = []
+            for shard, k, size in zip(*(batch.column(c).to_pylist() for c in ("shard", "k", "size")), strict=True):
+                if shard != now:
+                    now, flush, held, sizes = shard, 0, 0, {}
+                if held + size > limit and sizes:
+                    flush, held, sizes = flush + 1, 0, {}
+                held += size - sizes.get(k, 0)
+                sizes[k] = size
+                out.append(flush)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "seq", "k")), pa.array(out, pa.int64())], names=["shard", "seq", "k", "flush"])
+
+    rows = sharded(log).select("shard", "seq", "k", (F.octet_length("k") + F.octet_length("v") + ENTRY_BYTES).cast("long").alias("size"))
+    return rows.repartition("shard").sortWithinPartitions("shard", "seq").mapInArrow(close, "shard int, seq long, k string, flush long")
+
+
+def empty_shards(log: DataFrame) -> DataFrame:
+    """Each shard and whether its memtable holds nothing."""
+    held = sharded(log).select("shard").distinct().withColumn("held", F.lit(True))
+    every = log.sparkSession.range(SHARDS).select(F.col("id").cast("int").alias("shard"))
+    return every.join(held, "shard", "left").select("shard", F.col("held").isNull().alias("empty"))
+
+
 def stats(log: DataFrame) -> DataFrame:
     """A manifest row of each run: keys, bounds, tombstones, bytes."""
     return collapse(log).groupBy("run").agg(

@@ -89,7 +89,12 @@ def seeded(log: DataFrame) -> DataFrame:
     return latest(log).unionByName(seed)
 
 
-def layered(log: DataFrame, layers: dict[str, F.Column] | None = None) -> DataFrame:
+def operations(log: DataFrame) -> DataFrame:
+    """seq and a line for each mutation, as an operation log prints it."""
+    return log.select("seq", F.concat(F.lit("[LOG] "), F.when(F.col("del"), F.concat(F.lit("DEL "), "k")).otherwise(F.concat(F.lit("SET "), "k", F.lit(" "), "v"))).alias("line"))
+
+
+def layered(log: DataFrame) -> DataFrame:
     """k, v and the layer (memtable, L0, L1) that a read finds each live key in; layers are unions of runs by age."""
     top = log.agg(F.max("run").alias("top"))
     layer = F.when(F.col("run") == F.col("top"), "memtable").when(F.col("run") >= F.col("top") - 4, "L0").otherwise("L1")

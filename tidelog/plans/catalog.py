@@ -196,7 +196,7 @@ def kv_fence_pointers(spark, sf):
 
 @query
 def kv_fence_lookup(spark, sf):
-    return runs.fence_lookup(_early(model.events_log(spark, sf)), model.requests(spark, sf))
+    return runs.fence_lookup(model.events_log(spark, sf), model.requests(spark, sf))
 
 
 @query
@@ -248,17 +248,17 @@ def kv_bloom_params(spark, sf):
 
 @query
 def kv_bloom_bits(spark, sf):
-    return membership.bits(_early(model.events_log(spark, sf)))
+    return membership.bits(model.events_log(spark, sf))
 
 
 @query
 def kv_bloom_segmented(spark, sf):
-    return membership.segmented_bits(_early(model.events_log(spark, sf)))
+    return membership.segmented_bits(model.events_log(spark, sf))
 
 
 @query
 def kv_bloom_probe(spark, sf):
-    return membership.probe(_early(model.events_log(spark, sf)), model.requests(spark, sf))
+    return membership.probe(model.events_log(spark, sf), model.requests(spark, sf))
 
 
 @query
@@ -347,7 +347,7 @@ def repl_parse(spark, sf):
 @query
 def client_tokenize(spark, sf):
     rows = spark.createDataFrame(list(enumerate(QUOTED)), "pos long, line string")
-    return rows.select("pos", F.array_join(lines.quoted_tokens(F.col("line")), "|").alias("tokens"), F.array_join(lines.quoted_tokens_balanced(F.col("line")), "|").alias("tokens_jvm"))
+    return rows.select("pos", F.array_join(lines.quoted_tokens(F.col("line")), "|").alias("tokens"))
 
 
 @query
@@ -365,6 +365,47 @@ def stream_kv_latest(spark, sf):
     return live.latest_events(spark, sf)
 
 
+def _keyed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = model.table(spark, sf, "lineitem")
+    return rows.select(F.col("l_orderkey").alias("pos"), F.concat(F.lit("user:"), (F.col("l_partkey") % 3000).cast("string")).alias("k"))
+
+
+@query
+def batch_get(spark, sf):
+    """One lookup for each row of lineitem."""
+    return state.multi_get(model.events_log(spark, sf), _keyed(spark, sf))
+
+
+@query
+def batch_set(spark, sf):
+    """One upsert for each row of lineitem."""
+    rows = _keyed(spark, sf).select("k", F.col("pos").cast("string").alias("v"), (F.col("pos") + 1_000_000_000).alias("seq"), F.lit(False).alias("del"))
+    return state.multi_set(model.events_log(spark, sf), rows)
+
+
+@query
+def kv_operation_log(spark, sf):
+    return state.operations(model.events_log(spark, sf))
+
+
+@query
+def kv_empty_shards(spark, sf):
+    """Of the memtable of the newest run."""
+    log = model.events_log(spark, sf)
+    return runs.empty_shards(log.join(F.broadcast(log.agg(F.max("run").alias("run"))), "run", "left_semi"))
+
+
+@query
+def kv_flushes(spark, sf):
+    return runs.flushes(model.events_log(spark, sf), FLUSH_BYTES)
+
+
+@query
+def kv_compact_expired(spark, sf):
+    events = model.table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    return compaction.expired(model.events_log(spark, sf).join(events, "seq"))
+
+
 @query
 def kv_range_scan(spark, sf):
     return state.range_scan(model.events_log(spark, sf), "user:2", "user:4")

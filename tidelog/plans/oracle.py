@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidelog.functions.resp import REPLIES
-from tidelog.plans.catalog import BUCKET_CAPACITY, BUCKET_RATE, COMMANDS, FLUSH_BYTES, LINES, LRU_KEYS, NEWEST_LEVEL0
+from tidelog.plans.catalog import BUCKET_CAPACITY, BUCKET_RATE, COMMANDS, FLUSH_BYTES, LINES, LRU_KEYS, LRU_SEGMENT_KEYS, NEWEST_LEVEL0, QUOTED
 
 _LOG = """m AS (SELECT concat('user:', CAST(user_id AS VARCHAR)) AS k, props AS v, event_id AS seq, event_type = 'error' AS del,
     CAST(floor(event_id / 200) AS BIGINT) AS run FROM events)"""
@@ -58,6 +58,32 @@ def _rows(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows)
 
 
+_U32 = 4294967296
+_CODES = "list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+_WORD = "list_transform(range(0, len(c) // 4), lambda i: c[4 * i + 1] + c[4 * i + 2] * 256 + c[4 * i + 3] * 65536 + c[4 * i + 4] * 16777216)"
+
+
+def _times(x: str) -> str:
+    return f"CAST((CAST({x} AS HUGEINT) * 1540483477) % {_U32} AS BIGINT)"
+
+
+def _folded(x: str, shift: int) -> str:
+    return f"xor({x}, ({x}) >> {shift})"
+
+
+def _segment() -> str:
+    """The 32-bit multiply-and-shift hash of little-endian words with seed 0, modulo 4, of ASCII keys."""
+    word = _times(_folded(_times("w"), 24))
+    whole = f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform({_WORD}, lambda w: {word})), lambda h, w: xor({_times('h')}, w))"
+    rest = "coalesce(c[4 * (len(c) // 4) + 1], 0) + coalesce(c[4 * (len(c) // 4) + 2], 0) * 256 + coalesce(c[4 * (len(c) // 4) + 3], 0) * 65536"
+    tail = f"list_transform([xor({whole}, {rest})], lambda h: CASE WHEN len(c) % 4 > 0 THEN {_times('h')} ELSE h END)"
+    last = f"list_transform({tail}, lambda h: {_times(_folded('h', 13))})"
+    return f"(SELECT CAST({_folded(f'({last})[1]', 15)} % 4 AS INTEGER) FROM (SELECT {_CODES} AS c))"
+
+
+_SEGMENT = _segment()
+_MD5 = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(left(md5(concat(CAST(i AS VARCHAR), ':', k)), 15), ''), lambda c: CAST(instr('0123456789abcdef', c) - 1 AS BIGINT))), lambda a, b: a * 16 + b)"
+_KEYED = "keyed AS (SELECT l_orderkey AS pos, concat('user:', CAST(l_partkey % 3000 AS VARCHAR)) AS k FROM lineitem)"
 _CRLF = "chr(13) || chr(10)"
 
 
@@ -77,6 +103,7 @@ _SET = _command("'SET'", "concat('doc:', CAST(doc_id AS VARCHAR))", "coalesce(te
 _REPLY = {k: _error(_text(v)) for k, v in REPLIES.items()}
 _COMMANDS = ", ".join(f"({i}, {len(c)}, {', '.join(_text(c[j]) if j < len(c) else 'NULL' for j in range(3))})" for i, c in enumerate(COMMANDS))
 _BLANKS = r"[ \t\n\x0B\f\r]"
+_QUOTED_LINES = ", ".join(f"({i}, {_text(x)})" for i, x in enumerate(QUOTED))
 _LINES = ", ".join(f"({i}, {_text(x)})" for i, x in enumerate(LINES))
 _TS = "epoch_us(ts)"
 
@@ -115,7 +142,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT run FROM l EXCEPT SELECT l.run FROM u JOIN l ON greatest(u.a, l.a) <= least(u.b, l.b)""",
     "kv_keys_in_all_runs": _early(" INTERSECT ".join(f"SELECT k FROM m WHERE run = {i}" for i in range(5))),
     "kv_fence_pointers": _log("SELECT run, k, position FROM (SELECT run, k, row_number() OVER (PARTITION BY run ORDER BY k) - 1 AS position FROM d) WHERE position % 16 = 0", _COLLAPSE),
-    "kv_fence_lookup": _early("""SELECT q.run, q.k, coalesce(max(f.position), 0) AS fence FROM (SELECT run, k FROM (SELECT DISTINCT run FROM m), (SELECT DISTINCT k FROM requests)) q
+    "kv_fence_lookup": _log("""SELECT q.run, q.k, coalesce(max(f.position), 0) AS fence FROM (SELECT run, k FROM (SELECT DISTINCT run FROM m), (SELECT DISTINCT k FROM requests)) q
         LEFT JOIN f ON f.run = q.run AND f.k <= q.k GROUP BY q.run, q.k""", _REQUESTS, _COLLAPSE, "f AS (SELECT * FROM (SELECT run, k, row_number() OVER (PARTITION BY run ORDER BY k) - 1 AS position FROM d) WHERE position % 16 = 0)"),
     "kv_compact_a": _early(_live()),
     "kv_compact_l0_b": _early("SELECT k, v, seq, del FROM (SELECT k, arg_max(v, seq) AS v, max(seq) AS seq, arg_max(del, seq) AS del, count(DISTINCT run) AS held FROM m GROUP BY k) WHERE NOT del OR held < (SELECT count(DISTINCT run) FROM m)"),
@@ -126,13 +153,28 @@ ORACLE_SQL: dict[str, str] = {
     "kv_compaction_due": _log(f"SELECT level, n_tables, n_tables > CASE WHEN level = 0 THEN 4 ELSE 10 END AS due FROM (SELECT CASE WHEN run >= {NEWEST_LEVEL0} THEN 0 ELSE 1 END AS level, count(DISTINCT run) AS n_tables FROM m GROUP BY 1)"),
     "kv_shard_stats": _log(f"SELECT {_poly('k', 16)} AS shard, count(*) AS n_keys, CAST(sum({_BYTES.format('k')} + {_BYTES.format('v')} + 16) AS BIGINT) AS bytes FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) GROUP BY 1"),
     "kv_bloom_params": _log("SELECT run, n, n * 10 AS a_bits, CAST(7 AS BIGINT) AS a_hashes, b_bits, b_hashes FROM sizes", _COLLAPSE, _sizes()),
-    "kv_bloom_bits": _early(_positions("run"), _REQUESTS, _COLLAPSE, _sizes(), _HASHED),
-    "kv_bloom_segmented": _early(_positions(f"run, {_poly('k', 4)} AS segment"), _REQUESTS, _COLLAPSE, _sizes(4), _HASHED),
-    "kv_bloom_probe": _early(f"SELECT run, k, bool_and(b.position IS NOT NULL) AS might_contain FROM ({_positions('run, k', 'asked')}) p LEFT JOIN bits b USING (run, position) GROUP BY run, k",
+    "kv_bloom_bits": _log(_positions("run"), _REQUESTS, _COLLAPSE, _sizes(), _HASHED),
+    "kv_bloom_segmented": _log(_positions(f"run, {_poly('k', 4)} AS segment"), _REQUESTS, _COLLAPSE, _sizes(4), _HASHED),
+    "kv_bloom_probe": _log(f"SELECT run, k, bool_and(b.position IS NOT NULL) AS might_contain FROM ({_positions('run, k', 'asked')}) p LEFT JOIN bits b USING (run, position) GROUP BY run, k",
         _REQUESTS, _COLLAPSE, _sizes(), _HASHED, f"bits AS ({_positions('run')})", "asked AS (SELECT run, k FROM (SELECT DISTINCT run FROM m), (SELECT DISTINCT k FROM requests))"),
     "kv_common_prefix": f"""WITH {_ORDERS.format(shift=0)}, p AS (SELECT run, list_max(list_filter(range(0, 15), lambda i: left(a, CAST(i AS BIGINT)) = left(b, CAST(i AS BIGINT)))) AS n, a FROM (SELECT run, min(k) AS a, max(k) AS b FROM o GROUP BY run))
         SELECT run, k, left(a, n) AS prefix, substr(k, n + 1) AS suffix FROM (SELECT DISTINCT run, k FROM o) JOIN p USING (run)""",
-    "kv_lru_state": _log(f"SELECT k, last_seq, CAST(row_number() OVER (ORDER BY last_seq DESC) AS INTEGER) AS place FROM (SELECT k, max(seq) AS last_seq FROM m GROUP BY k ORDER BY last_seq DESC LIMIT {LRU_KEYS})"),
+    "kv_lru_state": _log(f"""SELECT k, last_seq, CAST(row_number() OVER (ORDER BY last_seq DESC) AS INTEGER) AS place FROM (
+        SELECT t.k, t.last_seq FROM top t LEFT JOIN depth d ON d.k = t.k GROUP BY t.k, t.last_seq HAVING coalesce(max(d.n), 0) < {LRU_KEYS})""",
+        f"top AS (SELECT k, seq AS last_seq FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) WHERE NOT del ORDER BY seq DESC LIMIT {LRU_KEYS})",
+        "moves AS (SELECT t.k AS of, m.k, m.seq, m.del, lag(m.del) OVER (PARTITION BY t.k, m.k ORDER BY m.seq) AS gone FROM top t JOIN m ON m.seq > t.last_seq)",
+        "depth AS (SELECT of AS k, sum(CASE WHEN NOT del AND coalesce(gone, true) THEN 1 WHEN del AND NOT coalesce(gone, true) THEN -1 ELSE 0 END) OVER (PARTITION BY of ORDER BY seq) AS n FROM moves)"),
+    "kv_lru_segmented": _log(f"""SELECT segment, k, last_seq, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY last_seq DESC) AS place FROM (
+        SELECT {_SEGMENT} AS segment, k, last_seq FROM (SELECT k, max(seq) AS last_seq FROM m GROUP BY k))) WHERE place <= {LRU_SEGMENT_KEYS}"""),
+    "kv_cache_segment": _log(f"SELECT k, {_SEGMENT} AS segment FROM (SELECT DISTINCT k FROM m)"),
+    "kv_bloom_a": _log("SELECT DISTINCT run, CAST(md5_number_bits(i, k) % a_bits AS BIGINT) AS position FROM d JOIN (SELECT run, count(*) * 10 AS a_bits FROM d GROUP BY run) USING (run), range(7) t(i)".replace("md5_number_bits(i, k)", _MD5), _COLLAPSE),
+    "client_tokenize": f"SELECT pos, array_to_string(list_filter(list_transform(regexp_extract_all(line, '(?:[^ \"]|\"[^\"]*(?:\"|$))+'), lambda x: replace(x, '\"', '')), lambda x: x <> ''), '|') AS tokens FROM (VALUES {_QUOTED_LINES}) t(pos, line)",
+    "batch_get": _log(f"SELECT r.pos, r.k, l.v FROM keyed r LEFT JOIN ({_live()}) l USING (k)", _KEYED),
+    "batch_set": _log(_live("b"), _KEYED, "b AS (SELECT k, v, seq, del FROM m UNION ALL SELECT k, CAST(pos AS VARCHAR), pos + 1000000000, false FROM keyed)"),
+    "kv_operation_log": _log("SELECT seq, CASE WHEN del THEN concat('[LOG] DEL ', k) ELSE concat('[LOG] SET ', k, ' ', v) END AS line FROM m"),
+    "kv_empty_shards": _log(f"SELECT CAST(s AS INTEGER) AS shard, s NOT IN (SELECT {_poly('k', 16)} FROM m WHERE run = (SELECT max(run) FROM m)) AS empty FROM range(16) t(s)"),
+    "kv_compact_expired": _log("""SELECT k, v, seq, del FROM (SELECT m.*, ts FROM m JOIN events ON event_id = seq QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1)
+        WHERE NOT (del AND ts <= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS)"""),
     "kv_token_bucket": f"""WITH RECURSIVE r AS (SELECT user_id AS who, event_id AS seq, {_TS} AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
         s(who, n, seq, last, tokens, admitted) AS (
           SELECT who, n, seq, t, CAST({BUCKET_CAPACITY} - 1 AS BIGINT), true FROM r WHERE n = 1

@@ -23,6 +23,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file, or says that it is there: of several writers one succeeds."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    if fs.getUri().getScheme() == "file":
+        made = spark._jvm.java.io.File(p.toUri().getPath()).createNewFile()
+        return bool(made)
+    try:
+        fs.create(p, False).close()
+    except Exception as e:
+        if fs.exists(p):
+            return False
+        raise e
+    return True
+
+
 def rename(spark: SparkSession, old: str, new: str) -> bool:
     """Whether the move happened; false if the target is there."""
     fs, p = _fs(spark, old)

@@ -1,4 +1,8 @@
-"""Runs as Parquet: sorted by key, with Bloom filters on it, never changed once written."""
+"""Runs as Parquet: sorted by key, with Bloom filters on it, never changed once written.
+
+Many runs share files, each a stretch of rows sorted by run and key, so small
+runs cost no folder each; row-group statistics find them.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,16 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.state import newest
 
-#: Distinct keys that a file's Bloom filter is sized for.
+#: A filter starts at this many keys and shrinks to what its row group holds.
 FILTER_KEYS = 1_000_000
 
 
 def write(rows: DataFrame, path: str, *by: str, files: int | None = None) -> None:
-    """Writes a run, or one for each value of ``by``: newest row of each key, tombstones kept, dealt by key range and sorted."""
+    """Writes a run, or one for each value of ``by``: newest row of each key, tombstones kept, dealt by range and sorted."""
     run = newest(rows, *by, "k")
     run = run.repartitionByRange(files, *by, "k") if files else run.repartitionByRange(*by, "k")
     out = run.sortWithinPartitions(*by, "k").write.option("parquet.bloom.filter.enabled#k", "true").option("parquet.bloom.filter.expected.ndv#k", str(FILTER_KEYS))
-    (out.partitionBy(*by) if by else out).parquet(path)
+    out.option("parquet.bloom.filter.adaptive.enabled#k", "true").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

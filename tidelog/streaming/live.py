@@ -41,12 +41,12 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed(log: DataFrame, store, checkpoint: str):
-    """Appends each micro-batch (k, v, del, seq) to a store, in order of seq; returns the running query.
+    """Appends the newest row of each key of each micro-batch (k, v, del, seq) to a store; returns the running query.
 
     A batch replayed after a failure sets what it had set, which leaves state as it was.
     """
 
     def append(batch: DataFrame, epoch: int) -> None:
-        store.append(batch.select(F.col("seq").alias("pos"), "k", "v", "del"))
+        store.append(newest(batch.select("k", "v", "seq", "del")).select(F.lit(0).alias("pos"), "k", "v", "del"))
 
     return log.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
