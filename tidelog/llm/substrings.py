@@ -144,7 +144,7 @@ def _window_counts(texts: DataFrame, window: int, common: np.ndarray) -> DataFra
 
 
 def _segments(texts: DataFrame, window: int, anchors: np.ndarray, bits: int, common: np.ndarray | None, windows: np.ndarray | None) -> DataFrame:
-    """Segments that may repeat: anchor, two keys of the words, text's digest, first window, weight, words."""
+    """Segments that may repeat: anchor, two keys of the words, text's digest, the first window of each place in the text, weight (over its places), words."""
 
     def cut(part, words, h):
         g, start, n, doc = _anchors(h, words, window)
@@ -159,12 +159,20 @@ def _segments(texts: DataFrame, window: int, anchors: np.ndarray, bits: int, com
             rest = [x[hot][which[new]] for x in (g, doc)]
             g, start, n, doc = (np.r_[x[~hot], y] for x, y in zip((g, start, n, doc), (rest[0], at[new], np.diff(np.r_[new, len(at)]), rest[1]), strict=True))
         end = start + n + window - 1
+        keys = [_stretch(h, start, end, salt) for salt in (3, 7)]
+        order = np.lexsort((start, keys[1], keys[0], doc))
+        new = np.r_[True, np.diff(doc[order]) != 0] if len(order) else np.empty(0, bool)
+        for k in keys:
+            new[1:] |= k[order][1:] != k[order][:-1]
+        cuts, places = np.r_[np.flatnonzero(new), len(order)], start[order] - words.first[doc[order]]
+        at = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(places))
+        g, start, end, doc, *keys = (x[order[cuts[:-1]]] for x in (g, start, end, doc, *keys))
         raw = words.raw.tobytes()
         texts_ = [raw[a:b] for a, b in zip(words.start[start].tolist(), words.end[end - 1].tolist(), strict=True)]
-        digest, weight = (part.column(c).take(pa.array(doc, pa.int64())) for c in ("digest", "weight"))
-        return [g, _stretch(h, start, end, 3), _stretch(h, start, end, 7), digest, start - words.first[doc], weight, pa.array(texts_, pa.binary())]
+        weight = np.asarray(part.column("weight"))[doc] * np.diff(cuts)
+        return [g, *keys, part.column("digest").take(pa.array(doc, pa.int64())), at, weight, pa.array(texts_, pa.binary())]
 
-    return _scan(texts, cut, "anchor long, key1 long, key2 long, digest binary, at long, weight long, words binary")
+    return _scan(texts, cut, "anchor long, key1 long, key2 long, digest binary, at array<long>, weight long, words binary")
 
 
 def _stretch(h: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
@@ -301,14 +309,14 @@ def removed(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_c
             for part in steps(batch, "text"):
                 words = Words(part.column("text"), BLANK)
                 edges = np.zeros(len(words.start) + 1, np.int64)
-                for first, marks in zip(words.first.tolist(), part.column("windows").to_pylist(), strict=False):
-                    for m in marks or ():
-                        mask, at = m["mask"], first + m["at"]
-                        while mask:
-                            b = (mask & -mask).bit_length() - 1
-                            edges[at + b] += 1
-                            edges[at + b + window] -= 1
-                            mask &= mask - 1
+                marks = part.column("windows")
+                places, mask = marks.flatten().flatten()
+                n_marks, n_places = np.asarray(marks.value_lengths().fill_null(0)), np.asarray(places.value_lengths())
+                at = np.asarray(places.flatten()) + np.repeat(np.repeat(words.first[:-1], n_marks), n_places)
+                mask = np.repeat(np.asarray(mask), n_places)
+                for b in range(63):
+                    own = at[(mask >> b) & 1 == 1] + b
+                    edges += np.bincount(own, minlength=len(edges)) - np.bincount(own + window, minlength=len(edges)) if len(own) else 0
                 gone = np.cumsum(edges)[:-1] > 0
                 total = np.r_[0, np.cumsum(gone)][words.first]
                 kept, ends = _kept(words, ~gone)
