@@ -63,7 +63,7 @@ _HOME = r"(?<![\p{L}\p{N}.,+-])(?=\(?0)(?=(?:[ ()./-]{0,2}[0-9]){7,15}(?![0-9]))
 _TRIPLE = r"(?<![\p{L}\p{N}.,+-])[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}(?![0-9]|[.,][0-9])"
 #: Phrases that introduce a name; the name follows after one blank.
 _CUES = ("Name:", "name:", "name is", "Contact:", "contact:", "Author:", "author:", "Signed,", "signed,", "Signed by", "signed by", "Dear", "Attn:", "Regards,", "regards,", "Sincerely,", "I am", "Liebe", "Lieber", "heiße", "Cher", "Chère", "appelle", "Estimado", "Estimada", "llamo", "Nombre:", "Nom:", "зовут", "Уважаемый", "Уважаемая")
-_INTRODUCED = rf"(?<=(?<!\p{{L}})(?:{'|'.join(_CUES)})[ \n])(?!(?:{_TITLES})\b)\p{{Lu}}\p{{Ll}}+ \p{{Lu}}\p{{Ll}}+(?!\p{{L}})"
+_INTRODUCED = rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join(_CUES)})[ \n])(?!(?:{_TITLES})\b)\p{{Lu}}\p{{Ll}}+ \p{{Lu}}\p{{Ll}}+(?!\p{{L}})"
 #: In order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+[\p{L}]{2,}",
@@ -76,7 +76,7 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: Without a match of this there is no entity: each pattern holds two digits next to or near each other, an at sign, a colon before a digit or colon, or a title or phrase.
-HINT = rf"[0-9][ .()/-]{{0,2}}[0-9]|@|:[0-9A-Fa-f:]|(?:{_TITLES})\.? \p{{Lu}}|(?:{'|'.join(_CUES)})[ \n]\p{{Lu}}"
+HINT = rf"[0-9][ .()/-]{{0,2}}[0-9]|@|:[0-9A-Fa-f:]|(?=\p{{Lu}})(?<=(?:{_TITLES})\.? |(?:{'|'.join(_CUES)})[ \n])"
 #: Syllables that surrogate names are spelled from: openings, middles, and endings by kind.
 SYLLABLES = {
     "": (
