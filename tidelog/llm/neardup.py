@@ -208,7 +208,7 @@ class _Cell:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-CELL = "bucket long, cell int, kind int, rid long, root long, small boolean, n long, bands array<long>, minima binary"
+CELL = "bucket long, cell long, kind int, rid long, root long, small boolean, n long, bands array<long>, minima binary"
 
 
 def _cells(rows: DataFrame, run) -> DataFrame:
@@ -315,13 +315,16 @@ def _verify(size: int, percent: int):
 def _block_links(named: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between components within a bucket; named: bucket, members, rid, root."""
     sizes = settle(named.groupBy("bucket", "root").agg(F.count("*").alias("k")), "roots")
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("most.root").alias("big"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("all"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("most.root").alias("big"), F.ceil((F.col("all") - F.col("most.k")) / BLOCK).alias("parts"))
     mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     rows = named.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS))).join(mixed, ["bucket", "salt"])
-    rows = settle(rows.select("bucket", "rid", "root", (F.col("root") != F.col("big")).alias("small"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = settle(rows.select("bucket", "rid", "root", (F.col("root") != F.col("big")).alias("small"), "parts", F.ceil(F.col("members") / BLOCK).alias("blocks")), "mixed")
     rows = rows.join(_only(signed.select("rid", "n", "bands", "minima"), rows), "rid")
-    own = rows.withColumn("cell", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("kind", F.lit(0))
-    past = rows.where("small").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
+    # A cell is a block of members and a part of those that pass.
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = rows.withColumn("part", numbers("parts")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn("kind", F.lit(0))
+    past = rows.where("small").withColumn("part", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("parts"))).withColumn("block", numbers("blocks")).withColumn("kind", F.lit(1))
+    own, past = (x.withColumn("cell", F.col("block") * F.col("parts") + F.col("part")) for x in (own, past))
     columns = ["bucket", "cell", "kind", "rid", "root", "small", "n", "bands", "minima"]
     likely = settle(_cells(own.select(columns).unionAll(past.select(columns)), _estimate(percent)), "likely")
     return _cells(likely.join(_only(signed.select("rid", "text"), likely), "rid").select(*columns, "text"), _verify(size, percent))
