@@ -44,13 +44,9 @@ def test_notices_are_known(family):
         assert (n, sure, families) == (1, 1, family) or n == 0
 
 
-def test_held_out_lines_and_negatives():
-    model = L.default_model()
-    right = 0
-    for g, y in (data := L._examples(77, 300)):
-        z = [(b + sum(model.weights[x][i] for x in g if x in model.weights) / math.sqrt(max(1, len(g)))) / model.temperature for i, b in enumerate(model.bias)]
-        right += z.index(max(z)) == y
-    assert right / len(data) > 0.95
+def test_a_style_that_neither_fit_nor_temperature_saw():
+    accuracy, error = L.measure(L.default_model())
+    assert accuracy > 0.93 and error < 0.03
     assert brute("The licence fee for that radio was high, they said.")[1] == 0
 
 
@@ -67,6 +63,11 @@ WRAPPED = {
     "GPL": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint main() {}",
     "MPL-2.0": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/.\nimport os",
     "Apache-2.0": "Some prose here.\nDistributed under Apache 2.0.",
+    "AGPL": "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU Affero General Public License as published\n * by the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */",
+    "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "LGPL": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public License.",
+    "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.",
     "Proprietary": "Copyright.\nAll rights reserved.\nUnauthorized copying of this\nfile is strictly prohibited.",
 }
 

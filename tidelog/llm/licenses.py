@@ -10,7 +10,8 @@ cut before the model but texts without a word of ``GATE``, which cannot hold
 half of any template. The distinct word 1- to 3-grams of a line, piece or block, each weighing one over the root of their number, feed a multinomial
 logistic regression over licence families and an unknown class, fitted on the
 driver from the notices below and generated negatives, with a temperature
-calibrated on generated held-out lines. A prediction is confirmed if the
+calibrated on generated lines of another style (``measure`` gives accuracy and
+calibration error on a third). A prediction is confirmed if the
 paragraph holds enough of a template of that family (its 3-grams).
 
 The model is a small table (a row for each n-gram of the training lines, some
@@ -37,27 +38,38 @@ from pyspark.sql import functions as F
 UNKNOWN = "unknown"
 # Common notices of each family.
 NOTICES = {
+    "AGPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the GNU AGPL v3 or later.",
+        "Available under AGPLv3.",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Distributed under Apache 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
+    "Artistic-2.0": ["Licensed under the Artistic License 2.0.", "You may redistribute this package under the terms of the Artistic License 2.0 or, at your option, the terms of Perl itself."],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
     ],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
     "CC0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "EPL-2.0": ["Licensed under the Eclipse Public License 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at www.eclipse.org/legal/epl-2.0."],
+    "EUPL-1.2": ["Licensed under the EUPL, Version 1.2 or later.", "Licensed under the European Union Public Licence, version 1.2."],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GNU GPL v2 or later.",
         "Available under GPLv3.",
     ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License.", "Released under the ISC license."],
     "LGPL": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.", "Licensed under the GNU LGPL version 2.1."],
     "MIT": [
         "Released under the MIT License.",
@@ -67,6 +79,7 @@ NOTICES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
     "Proprietary": ["Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. No license is granted."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Released under the zlib License.", "Licensed under the zlib/libpng license."],
 }
 # Lines that name licensing words and grant nothing.
 NEGATIVES = [
@@ -121,8 +134,18 @@ class Model:
         return [(g, [float(x) for x in w], [int(g in t) for _, t in self.templates]) for g, w in sorted(self.weights.items())]
 
 
-def _examples(seed: int, n: int) -> list[tuple[list[str], int]]:
+#: What stands before and after a notice in generated lines, for the fit, for the temperature and for the measured error; no style sees another's.
+STYLES = {
+    "fit": (["This project is ", "Code: ", "Note. ", "Copyright (c) 2019 Ada Moor. "], ["", "", " See the file for details.", " Thank you."], 0.08, 1.0),
+    "calibrate": (["The library below is ", "Source files: ", "(c) 2021 The Authors. ", "NOTICE: "], ["", " Contributions are welcome.", " The full text follows."], 0.12, 0.8),
+    "measure": (["All of this work was ", "License - ", "Copyright 2015-2020 by Kim Ray, Inc. ", "Unless stated otherwise: "], ["", " For questions write to us.", " Read on below."], 0.15, 0.7),
+}
+
+
+def _examples(seed: int, n: int, style: str = "fit") -> list[tuple[list[str], int]]:
+    """Generated lines: their n-grams and family. A style's last two numbers are the share of words left out and the least share of a notice that is kept."""
     rng = np.random.default_rng(seed)
+    before, after, lost, least = STYLES[style]
     any_of = lambda xs: xs[int(rng.integers(len(xs)))]
     word = lambda: "".join(any_of(["th", "er", "on", "an", "re", "he", "in", "la", "de", "que", "ung", "sch", "ión", "le"]) for _ in range(int(rng.integers(1, 4))))
     out = []
@@ -130,46 +153,68 @@ def _examples(seed: int, n: int) -> list[tuple[list[str], int]]:
         if k % 3 == 0:
             line, label = any_of([any_of(NEGATIVES), " ".join(word() for _ in range(int(rng.integers(3, 60))))]), len(FAMILIES) - 1
             if rng.random() < 0.5:
-                line = " ".join([*(word() for _ in range(8)), any_of(["license", "copyright", "warranty", "licensed", "public domain", "permission"]), *(word() for _ in range(8))])
+                line = " ".join([*(word() for _ in range(8)), any_of(["license", "copyright", "warranty", "licensed", "public domain", "permission", "software", "version 2.0", "the terms of the"]), *(word() for _ in range(8))])
         else:
             family = any_of(FAMILIES[:-1])
             line, label = any_of(NOTICES[family]), FAMILIES.index(family)
+            if len(own := line.split(" ")) > 15:
+                line = " ".join(own[: int(len(own) * rng.uniform(least, 1)) + 1])
             if rng.random() < 0.5:
-                line = any_of(["This project is ", "Code: ", "Note. ", f"Copyright (c) 20{rng.integers(10, 30)} {word()}. "]) + line
+                line = any_of(before) + line + any_of(after)
         words = _words(line)
-        out.append((grams([w for w in words if rng.random() > 0.08] or words), label))
+        out.append((grams([w for w in words if rng.random() > lost] or words), label))
     return out
 
 
+def _scores(model: Model, rows: list[tuple[list[str], int]]) -> np.ndarray:
+    """Logits of each family, at the model's temperature."""
+    none = [0.0] * len(FAMILIES)
+    return np.array([(np.array(model.bias) + sum((np.array(model.weights.get(g, none)) for g in x), np.zeros(len(FAMILIES))) / math.sqrt(max(1, len(x)))) / model.temperature for x, _ in rows])
+
+
+def _loss(z: np.ndarray, label: np.ndarray) -> float:
+    z = z - z.max(axis=1, keepdims=True)
+    return float(-(z[np.arange(len(z)), label] - np.log(np.exp(z).sum(axis=1))).mean())
+
+
+def measure(model: Model, seed: int = 77, n: int = 1500, style: str = "measure") -> tuple[float, float]:
+    """Share of generated lines that are classified rightly, and the calibration error: the mean gap of confidence and accuracy over ten bins of confidence."""
+    rows = _examples(seed, n, style)
+    z, label = _scores(model, rows), np.array([c for _, c in rows])
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    sure, right = (p / p.sum(axis=1, keepdims=True)).max(axis=1), z.argmax(axis=1) == label
+    bins = np.minimum((sure * 10).astype(int), 9)
+    return float(right.mean()), float(sum(abs(sure[bins == b].mean() - right[bins == b].mean()) * (bins == b).mean() for b in np.unique(bins)))
+
+
 @lru_cache(maxsize=1)
-def default_model(n: int = 1500, seed: int = 5, rounds: int = 150) -> Model:
-    """Fits by full-batch Adam with an L2 penalty, then calibrates the temperature on other lines."""
-    data, other = _examples(seed, n), _examples(seed + 1, n // 3)
+def default_model(n: int = 2400, seed: int = 5, rounds: int = 150) -> Model:
+    """Fits by full-batch Adam with an L2 penalty, then calibrates the temperature on lines of another style."""
+    data = _examples(seed, n)
     seen = Counter(g for x, _ in data for g in x)
     names = sorted(g for g, c in seen.items() if c >= 3)
     index, k = {g: i for i, g in enumerate(names)}, len(FAMILIES)
-    fill = lambda rows: np.array([[float(g in s) / math.sqrt(len(s)) for g in names] for s in (set(x) for x, _ in rows)], np.float32)
-    x, y = fill(data), np.eye(k)[[c for _, c in data]]
+    x = np.zeros((n, len(names)), np.float32)
+    for i, (own, _) in enumerate(data):
+        x[i, [index[g] for g in own if g in index]] = 1 / math.sqrt(len(own))
+    y = np.eye(k)[[c for _, c in data]]
     w, b = np.zeros((len(index), k)), np.zeros(k)
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
     for t in range(1, rounds + 1):
-        z = x @ w + b
+        z = x @ w.astype(np.float32) + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        for j, (v, g) in enumerate(((w, x.T @ (p - y) / len(x) + 1e-5 * w), (b, (p - y).mean(axis=0)))):
+        for j, (v, g) in enumerate(((w, x.T @ (p - y).astype(np.float32) / len(x) + 1e-5 * w), (b, (p - y).mean(axis=0)))):
             m1, m2 = state[2 * j], state[2 * j + 1]
             m1 += 0.1 * (g - m1)
             m2 += 0.001 * (g * g - m2)
             v -= 0.2 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
-    z, label = fill(other) @ w + b, np.array([c for _, c in other])
-
-    def loss(temperature: float) -> float:
-        s = z / temperature
-        s = s - s.max(axis=1, keepdims=True)
-        return float(-(s[np.arange(len(s)), label] - np.log(np.exp(s).sum(axis=1))).mean())
-
-    temperature = min((0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0), key=loss)
-    return Model({g: np.round(w[i], 6).tolist() for g, i in index.items()}, np.round(b, 6).tolist(), temperature)
+    model = Model({g: np.round(w[i], 6).tolist() for g, i in index.items()}, np.round(b, 6).tolist(), 1.0)
+    other = _examples(seed + 1, n // 2, "calibrate")
+    z, label = _scores(model, other), np.array([c for _, c in other])
+    grid = np.exp(np.linspace(math.log(0.2), math.log(5), 200))
+    model.temperature = round(float(min(grid, key=lambda t: _loss(z / t, label))), 4)
+    return model
 
 
 def _grams_column(words):
