@@ -37,6 +37,26 @@ def test_held_out_accuracy(spark):
     assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) > 0.97
 
 
+def test_predictions_match_brute_force(spark):
+    """Prototypes and cosines over whole texts, trigram by trigram."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 20000")
+    rows, sums = docs.collect(), {}
+    bundles = {r.doc_id: plain(r.text) for r in rows}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None:
+            x = bundles[r.doc_id][0]
+            sums[r.lang] = sums.get(r.lang, 0) + x / max(np.linalg.norm(x), 1e-9)
+    names = sorted(sums)
+    matrix = np.array([sums[k] / np.linalg.norm(sums[k]) for k in names])
+    got = {r.doc_id: r for r in L.predict(docs, L.train(docs)).collect()}
+    for r in rows:
+        x, letters = bundles[r.doc_id]
+        cosine = matrix @ x / max(np.linalg.norm(x), 1e-9)
+        g = got[r.doc_id]
+        assert abs(g.score - (max(cosine.max(), 0) if letters else 0)) < 1e-4
+        assert g.lang_pred == (names[int(cosine.argmax())] if letters else "und") or np.ptp(np.sort(cosine)[-2:]) < 1e-5
+
+
 def test_odd_rows(spark, frame):
     docs = frame([(1, "the cat", "en"), (2, None, "en"), (3, "12 -", None), (None, "le chat", "fr"), (4, "der hund", "de"), (4, "der hund", "de"), (5, "x " * 100000, None)], "doc_id long, text string, lang string")
     model = L.train(docs)

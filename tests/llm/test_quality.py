@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,64 @@ def test_held_out_accuracy(spark):
     assert np.mean([got[r.doc_id].predicted == r.quality for r in held]) > 0.95
 
 
+def plain(text):
+    """The statistics of a text, character by character and word by word."""
+    text = text or ""
+    words = [w for w in re.split("[\\x20\\x09-\\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
+    count = lambda test: sum(map(test, text))
+    lower, upper, digit = count(lambda c: "a" <= c <= "z"), count(lambda c: "A" <= c <= "Z"), count(lambda c: "0" <= c <= "9")
+    line, stop, wide, blank = text.count("\n"), text.count(".") + text.count(","), count(lambda c: ord(c) > 127), count(lambda c: c in " \t\x0b\x0c\r")
+    other = len(text) - lower - upper - digit - line - stop - wide - blank
+    c, w, seen = max(len(text), 1), max(len(words), 1), Counter(words)
+    again = [sum(a == b for a, b in zip(words, words[k:], strict=False)) for k in (1, 2)]
+    root = math.sqrt
+    return [
+        math.log1p(len(text)), math.log1p((lower + upper + wide) / w), root(other / c), root(other / w), root(stop / w), root(digit / c), root(upper / c), root(line / w), root(again[0] / w), root(again[1] / w),
+        root(max(seen.values(), default=0) / w), math.log1p(len(seen)) / math.log1p(w), root(wide / c),
+    ]
+
+
+def brute(train, rows):
+    """Scores of rows by the formula, from (text, label) pairs."""
+    x, y = np.array([plain(t) for t, _ in train]), np.array([v for _, v in train])
+    means = [x[y == k].mean(axis=0) for k in (0, 1)]
+    scale = np.sqrt(sum(((x[y == k] - means[k]) ** 2).sum(axis=0) for k in (0, 1)) / len(x)) + 1e-3
+    own = [np.cov(x[y == k].T / scale[:, None], bias=True) for k in (0, 1)]
+    pooled = sum(own[k] * (y == k).sum() for k in (0, 1)) / len(x)
+    cov = [(1 - quality.SHRINK - quality.SHRINK_DIAGONAL) * o + quality.SHRINK * pooled + quality.SHRINK_DIAGONAL * np.diag(np.diag(pooled) + 1e-3) for o in own]
+
+    def margin(v):
+        d = [(v - m) / scale for m in means]
+        density = [-0.5 * (a @ np.linalg.inv(s) @ a + np.linalg.slogdet(s)[1]) for a, s in zip(d, cov, strict=True)]
+        return density[1] - density[0]
+
+    own_margins = sorted(zip(map(margin, x), y, strict=True))
+    m = [own_margins[0][0], *(v for v, _ in own_margins), own_margins[-1][0]]
+    wrong = [sum(v == 1 for _, v in own_margins[:k]) + sum(v == 0 for _, v in own_margins[k:]) for k in range(len(x) + 1)]
+    best = [k for k, n in enumerate(wrong) if n == min(wrong)]
+    k = best[len(best) // 2]
+    cut = (m[k] + m[k + 1]) / 2
+    return [1 / (1 + math.exp(-max(-50, min(50, (margin(np.array(plain(t))) - cut) / quality.SOFTEN)))) for t in rows]
+
+
+def test_scores_match_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    train = [(texts[r.doc_id], r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in texts]
+    rows = quality.scores(docs, quality.train(docs, labels)).collect()
+    want = brute(train, [texts[r.doc_id] for r in rows])
+    for r, score in zip(rows, want, strict=True):
+        assert abs(r.score - score) < 1e-6 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_stage_on_empty_repeated_and_long_rows(spark, frame):
+    docs = frame([(1, "A clean line of words."), (1, "A clean line of words."), (2, None), (None, "words " * 200_000)])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    want = [r.score >= 0.5 for r in quality.scores(docs, model).collect()]
+    assert quality.accept(docs, model).count() == sum(want) and quality.accept(docs.limit(0), model).count() == 0
+
+
 def test_odd_rows(spark, frame):
     docs = frame([(1, "A clean line of words."), (2, None), (3, ""), (None, "x"), (4, "%%% ### " * 90000), (4, "%%% ### ")])
     labels = spark.createDataFrame([(1, 1), (1, 1), (None, 0), (4, 0), (9, None)], "doc_id long, quality int")
