@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import bpe, decontamination, neardup, quality, secrets
-from tidelog.llm.shared import read, release, settle, settled
+from tidelog.llm.shared import read, release, settle, settled, settling
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents. What a stage has settled goes once its result is written, the result once the next one is."""
+    """Applies the stages to documents. What a stage has settled goes once its result is written, the result once the next one is; all of it goes if a stage fails.
+
+    Null and empty texts, repeated rows, very long texts, null ids and columns of any name are kept or dropped by the stages'
+    own rules and pass through whole; of near copies without an id one row stays. An empty table gives an empty result.
+    """
     docs, mark = read(spark, sf_dir, "documents"), settled()
-    for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
-        release(spark, mark, keep=1)
+    with settling(spark, always=False):
+        for name, stage in STAGES:
+            docs = settle(stage(spark, docs, sf_dir), name)
+            release(spark, mark, keep=1)
     return docs

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import settle
+from tidelog.llm.shared import drop, settle
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "node").where("other > node").select(F.col("other").alias("node"), F.col("least").alias("less")).distinct()
         least = large.groupBy("node").agg(F.min("less").alias("least"))
         moved = large.join(least, "node").where("less != least").select(F.col("less").alias("node"), F.col("least").alias("less"))
-        edges = settle(moved.unionAll(least.select("node", F.col("least").alias("less"))).distinct(), "edges")
+        old, edges = edges, settle(moved.unionAll(least.select("node", F.col("least").alias("less"))).distinct(), "edges")
+        drop(old)
         before, mark = mark, _mark(edges)
         if before == mark:
             break

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.shared import settle, within
+from tidelog.llm.shared import drop, settle, within
 from tidelog.llm.words import BLANK_LOWER, U64, Words, mix, ngrams, steps
 
 BANDS, ROWS = 25, 5
@@ -345,9 +345,11 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "
     shared = settle(banded.join(buckets, "bucket"), "shared")
     pairs = settle(shared.where("rid != centre").select("centre", "rid").distinct(), "pairs")
     roots = components(_star_links(pairs, signed, size, percent))
+    drop(banded, pairs)
 
     named = shared.where("members > 2").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "members", "rid", F.coalesce("root", "rid").alias("root"))
     more = settle(_block_links(named, signed, size, percent), "links")
+    drop(shared)
     if not more.isEmpty():
         upper = components(more)
         every = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("node", F.coalesce("upper", "root").alias("root"))

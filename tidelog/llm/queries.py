@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import bpe, decontamination, language, licenses, neardup, quality, secrets, substrings, surrogates, topk
-from tidelog.llm.shared import read
+from tidelog.llm.shared import read, settling
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +56,18 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_exact_top_k, op4_benchmark_decontamination, op5_substring_dedup, op6_quality_classifier, op7_bpe, op8_minhash_near_dedup, op9_language_id, op10_pii_surrogates)}
+def _released(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query; what it has settled goes if it fails."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with settling(spark, always=False):
+            return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _released(f) for f in (op1_secret_scan, op2_license_scan, op3_exact_top_k, op4_benchmark_decontamination, op5_substring_dedup, op6_quality_classifier, op7_bpe, op8_minhash_near_dedup, op9_language_id, op10_pii_surrogates)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

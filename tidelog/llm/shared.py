@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Tables that this process has settled and not released, oldest first.
 _settled: list[str] = []
+#: The path of each settled table that is still in use.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def settle(df: DataFrame, what: str) -> DataFrame:
@@ -36,7 +41,9 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tidelog/{what}-{uuid.uuid4().hex}"
     _settled.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
 def settled() -> int:
@@ -46,13 +53,36 @@ def settled() -> int:
 
 def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Deletes the tables settled since a mark, but for the newest ``keep``. For when no result is read from them any more."""
-    gone = _settled[since : len(_settled) - keep]
-    for path in gone:
+    _delete(spark, _settled[since : len(_settled) - keep])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         _settled.remove(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing will read again, as all that comes of them is settled itself."""
+    for df in tables:
+        if (path := _paths.pop(df, None)) in _settled:
+            _delete(df.sparkSession, [path])
+
+
+@contextmanager
+def settling(spark: SparkSession, always: bool = True) -> Iterator[None]:
+    """Releases what is settled inside: at the end (for when the results have been written by then), or with ``always`` false only after a failure."""
+    mark = settled()
+    try:
+        yield
+    except BaseException:
+        release(spark, mark)
+        raise
+    if always:
+        release(spark, mark)
+
+
 def within(rows: DataFrame, wanted: DataFrame, key: Column, bits: int) -> DataFrame:
     """Adds ``flag``: false only for rows whose 64-bit ``key`` is not one of ``wanted``'s. A bitmap of fixed size (a bit for each of ``bits``), by broadcast, keeps the others out of the shuffle that follows."""
     place = F.pmod(key, F.lit(bits))

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.fmindex import FMIndex
-from tidelog.llm.shared import settle, within
+from tidelog.llm.shared import drop, settle, within
 from tidelog.llm.words import BLANK, U64, Words, mix, ngrams, steps
 
 SHINGLE = 8
@@ -275,14 +275,16 @@ def repeats(texts: DataFrame, window: int, anchor_bits: int = ANCHOR_BITS, commo
         more = cut.join(twice, ["key1", "key2"], "left_semi").groupBy("of1", "of2").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("mask"))
         masks = settle(masks.unionAll(more.select(F.col("of1").alias("key1"), F.col("of2").alias("key2"), "mask")), "masks")
     hits = segments.select("key1", "key2", "digest", "at").join(masks, ["key1", "key2"])
-    return settle(hits.groupBy("digest").agg(F.collect_list(F.struct("at", "mask")).alias("windows")), "hits")
+    hits = settle(hits.groupBy("digest").agg(F.collect_list(F.struct("at", "mask")).alias("windows")), "hits")
+    drop(anchors, segments, distinct, many, masks)
+    return hits
 
 
-def _distinct(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """digest, text and weight of each different text; rows whose text cannot have a copy come straight from their scan."""
+def _distinct(rows: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """digest, text and weight of each different text, and the settled part of them; rows whose text cannot have a copy come straight from their scan."""
     flagged = within(rows.select("digest", "text"), copies, F.xxhash64("digest"), TEXT_BITS)
-    several = flagged.where("flag").groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("weight"))
-    return flagged.where("NOT flag").select("digest", "text", F.lit(1).cast("long").alias("weight")).unionAll(settle(several, "several"))
+    several = settle(flagged.where("flag").groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("weight")), "several")
+    return flagged.where("NOT flag").select("digest", "text", F.lit(1).cast("long").alias("weight")).unionAll(several), several
 
 
 def _parts(digest: Column) -> Column:
@@ -294,7 +296,9 @@ def removed(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_c
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     copies = settle(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "copies")
-    hits = repeats(_distinct(rows.where("text != ''"), copies), window, anchor_bits, common, heavy)
+    texts, several = _distinct(rows.where("text != ''"), copies)
+    hits = repeats(texts, window, anchor_bits, common, heavy)
+    drop(several)
     # Texts with many copies: the copies are dealt to parts, and each part gets the windows of its text.
     parts = F.broadcast(copies.where(F.col("n") > PART).groupBy(_parts(F.col("digest")).alias("bucket")).agg(F.max(F.ceil(F.col("n") / PART)).alias("parts")))
     dealt = lambda df: df.withColumn("bucket", _parts(F.col("digest"))).join(parts, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).drop("bucket")
@@ -304,7 +308,7 @@ def removed(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_c
     some = owners.join(windows, ["digest", "part"], "left").select("doc_id", "text", "windows")
     none = flagged.where("NOT flag").select("doc_id", "text", F.lit(None).cast(hits.schema["windows"].dataType).alias("windows"))
 
-    def drop(batches):
+    def clear(batches):
         for batch in batches:
             for part in steps(batch, "text"):
                 words = Words(part.column("text"), BLANK)
@@ -334,7 +338,7 @@ def removed(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_c
                     pa.array(texts, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
                 ], names=["doc_id", "n_words", "n_removed", "intervals", "kept", "kept_sha256"])
 
-    return some.unionAll(none).mapInArrow(drop, "doc_id long, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept string, kept_sha256 string")
+    return some.unionAll(none).mapInArrow(clear, "doc_id long, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept string, kept_sha256 string")
 
 
 def _kept(words: Words, keep: np.ndarray) -> tuple[bytes, list[int]]:

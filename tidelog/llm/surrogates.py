@@ -46,7 +46,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import settle, within
+from tidelog.llm.shared import drop, settle, within
 
 STRETCH = 8
 #: Bits of the bitmap of texts with entities (4 MB).
@@ -235,7 +235,8 @@ def _rounds(values: DataFrame, barred: DataFrame, draw: Callable[[DataFrame], Da
         winners = free.groupBy("surrogate").agg(F.min("value").alias("value"))
         won = settle(drawn.join(winners, ["surrogate", "value"]).select("value", "kind", "surrogate"), "won")
         done = won if done is None else done.unionAll(won)
-        waiting = settle(drawn.join(won.select("value"), "value", "left_anti").select("value", "kind", (F.col("attempt") + 1).alias("attempt")), "waiting")
+        old, waiting = waiting, settle(drawn.join(won.select("value"), "value", "left_anti").select("value", "kind", (F.col("attempt") + 1).alias("attempt")), "waiting")
+        drop(old, drawn)
         if waiting.isEmpty():
             return done
 
