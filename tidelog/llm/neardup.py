@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.shared import drop, settle, within
+from tidelog.llm.shared import drop, join_dealt, parts_of, settle, within
 from tidelog.llm.words import BLANK_LOWER, U64, Words, mix, ngrams, steps
 
 BANDS, ROWS = 25, 5
@@ -337,7 +337,7 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "
     """
     signed = signatures(docs, size, id_col, text_col, carry)
     best = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.col("rid"))).alias("best")
-    classes = settle(signed.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("rid").alias("node"), best), "classes")
+    classes = settle(signed.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("rid").alias("node"), best, F.count("*").alias("copies")), "classes")
     stands = signed.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi")
     banded = settle(stands.select("rid", F.explode("bands").alias("bucket")), "bands")
 
@@ -355,11 +355,11 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "
         every = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
         roots = settle(every.unionAll(upper), "roots")
 
-    joined = classes.join(roots, "node", "left").select("key1", "key2", "n", "best", F.coalesce("root", "node").alias("root"))
-    least = joined.groupBy("root").agg(F.min("best").alias("least"))
-    named = joined.join(least, "root").select("key1", "key2", "n", "least")
+    joined = classes.join(roots, "node", "left").select("node", "key1", "key2", F.col("n").alias("size"), "best", F.coalesce("root", "node").alias("root"))
+    least = settle(joined.groupBy("root").agg(F.min("best").alias("least"), F.count("*").alias("n")), "least")
+    named = join_dealt(joined, least.drop("n"), ["root"], "node", parts_of(least, ["root"])).select("key1", "key2", F.col("size").alias("n"), "least")
     extra = ["rid", "text", "row"] if carry else []
-    full = signed.where("n > 0").select("doc_id", "rid", "n", "key1", "key2", *extra[1:]).join(named, ["key1", "key2", "n"])
+    full = join_dealt(signed.where("n > 0").select("doc_id", "rid", "n", "key1", "key2", *extra[1:]), named, ["key1", "key2", "n"], "rid", parts_of(classes, ["key1", "key2", "n"], "copies"))
     full = full.select("doc_id", "n", F.when(F.col("least.doc") != _LAST, F.col("least.doc")).alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("first"), *extra)
     none = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"), *extra)
     out = full.unionAll(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "first", *extra)

@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     return (name or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages").rstrip("/")
 
 
+#: Rows of a key in one part; buckets of keys whose greatest number of parts is shipped.
+PART, PART_BUCKETS = 256, 1 << 16
 #: Tables that this process has settled and not released, oldest first.
 _settled: list[str] = []
 #: The path of each settled table that is still in use.
@@ -93,6 +95,24 @@ def within(rows: DataFrame, wanted: DataFrame, key: Column, bits: int) -> DataFr
     return rows.join(F.broadcast(parts), F.bitmap_bucket_number(place) == F.col("_part"), "left").select(*rows.columns, flag.alias("flag"))
 
 
+def parts_of(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """How many parts rows of frequent keys are dealt to where they meet a table of keys: for buckets of keys (at most ``PART_BUCKETS`` rows), from each key and its number of rows."""
+    return counts.where(F.col(n) > PART).groupBy(_bucket_of(keys).alias("_bucket")).agg(F.max(F.ceil(F.col(n) / PART)).alias("parts"))
+
+
+def _bucket_of(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(PART_BUCKETS)).cast("int")
+
+
+def join_dealt(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: str, parts: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins rows with a table of one row a key. Rows of a frequent key are dealt to parts by ``spread``, and each part gets its own copy of the key's row; both sides read the number of parts from the same small table."""
+    few = F.broadcast(parts)
+    dealt = lambda df: df.withColumn("_bucket", _bucket_of(keys)).join(few, "_bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).drop("_bucket")
+    many = dealt(rows).withColumn("_part", F.pmod(F.xxhash64(spread), F.col("parts"))).drop("parts")
+    copied = dealt(keyed).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return many.join(copied, [*keys, "_part"], how).drop("_part")
+
+
 def fold_of(id_col: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

@@ -39,11 +39,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.fmindex import FMIndex
-from tidelog.llm.shared import drop, settle, within
+from tidelog.llm.shared import drop, join_dealt, parts_of, settle, within
 from tidelog.llm.words import BLANK, U64, Words, mix, ngrams, steps
 
 SHINGLE = 8
@@ -51,8 +51,6 @@ SHINGLE = 8
 ANCHOR_BITS, WINDOW_BITS, COMMON_BITS, TEXT_BITS = 1 << 27, 1 << 27, 1 << 23, 1 << 25
 #: Segments of an anchor beyond which windows are counted; distinct segments beyond which it is dealt by windows; words in one index.
 COMMON, HEAVY, SHARD_WORDS = 256, 1024, 400_000
-#: Copies of a text in one part; buckets of texts whose greatest number of parts is shipped (at most that many rows).
-PART, PART_BUCKETS = 256, 1 << 16
 
 
 def _anchors(h: np.ndarray, words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -287,10 +285,6 @@ def _distinct(rows: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]
     return flagged.where("NOT flag").select("digest", "text", F.lit(1).cast("long").alias("weight")).unionAll(several), several
 
 
-def _parts(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(PART_BUCKETS)).cast("int")
-
-
 def removed(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text", anchor_bits: int = ANCHOR_BITS, common: int = COMMON, heavy: int = HEAVY) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, intervals of removed words, and the kept words joined by one space (kept, kept_sha256)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -299,13 +293,8 @@ def removed(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_c
     texts, several = _distinct(rows.where("text != ''"), copies)
     hits = repeats(texts, window, anchor_bits, common, heavy)
     drop(several)
-    # Texts with many copies: the copies are dealt to parts, and each part gets the windows of its text.
-    parts = F.broadcast(copies.where(F.col("n") > PART).groupBy(_parts(F.col("digest")).alias("bucket")).agg(F.max(F.ceil(F.col("n") / PART)).alias("parts")))
-    dealt = lambda df: df.withColumn("bucket", _parts(F.col("digest"))).join(parts, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).drop("bucket")
     flagged = within(rows, hits, F.xxhash64("digest"), TEXT_BITS)
-    owners = dealt(flagged.where("flag").drop("flag")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
-    windows = dealt(hits).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    some = owners.join(windows, ["digest", "part"], "left").select("doc_id", "text", "windows")
+    some = join_dealt(flagged.where("flag").drop("flag"), hits, ["digest"], "doc_id", parts_of(copies, ["digest"]), "left").select("doc_id", "text", "windows")
     none = flagged.where("NOT flag").select("doc_id", "text", F.lit(None).cast(hits.schema["windows"].dataType).alias("windows"))
 
     def clear(batches):
