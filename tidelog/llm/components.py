@@ -24,7 +24,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Pairs may repeat and come in either direction; pairs of equal nodes count for nothing; no pairs give no rows.
     """
-    edges = settle(pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("less")).distinct(), "edges")
+    edges = settle(pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("less")).distinct(), "edges", few=True)
     mark = _mark(edges)
     while mark[0]:
         both = edges.select("node", F.col("less").alias("other")).unionAll(edges.select(F.col("less").alias("node"), F.col("node").alias("other")))
@@ -32,7 +32,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "node").where("other > node").select(F.col("other").alias("node"), F.col("least").alias("less")).distinct()
         least = large.groupBy("node").agg(F.min("less").alias("least"))
         moved = large.join(least, "node").where("less != least").select(F.col("less").alias("node"), F.col("least").alias("less"))
-        old, edges = edges, settle(moved.unionAll(least.select("node", F.col("least").alias("less"))).distinct(), "edges")
+        old, edges = edges, settle(moved.unionAll(least.select("node", F.col("least").alias("less"))).distinct(), "edges", few=True)
         drop(old)
         before, mark = mark, _mark(edges)
         if before == mark:

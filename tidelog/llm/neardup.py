@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str, carry: bo
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[n > 0].ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), pa.array(key1), pa.array(key2), pa.array([x.tobytes() for x in sign_.astype(np.uint8)], pa.binary()), lists], names=names)
 
-    return settle(rows.mapInArrow(sign, kind), "signatures")
+    return settle(rows.mapInArrow(sign, kind), "signatures", few=True)
 
 
 def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _star_links(pairs: DataFrame, signed: DataFrame, size: int, percent: int) ->
                 if marks:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*marks, strict=True)], names=["a", "b"])
 
-    likely = settle(_streams(pairs, signed, "minima").mapInArrow(estimate, "centre long, rid long"), "likely")
+    likely = settle(_streams(pairs, signed, "minima").mapInArrow(estimate, "centre long, rid long"), "likely", few=True)
     return _streams(likely, signed, "text").mapInArrow(verify, "a long, b long")
 
 
@@ -314,11 +314,11 @@ def _verify(size: int, percent: int):
 
 def _block_links(named: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between components within a bucket; named: bucket, members, rid, root."""
-    sizes = settle(named.groupBy("bucket", "root").agg(F.count("*").alias("k")), "roots")
+    sizes = settle(named.groupBy("bucket", "root").agg(F.count("*").alias("k")), "roots", few=True)
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("all"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("most.root").alias("big"), F.ceil((F.col("all") - F.col("most.k")) / BLOCK).alias("parts"))
     mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     rows = named.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS))).join(mixed, ["bucket", "salt"])
-    rows = settle(rows.select("bucket", "rid", "root", (F.col("root") != F.col("big")).alias("small"), "parts", F.ceil(F.col("members") / BLOCK).alias("blocks")), "mixed")
+    rows = settle(rows.select("bucket", "rid", "root", (F.col("root") != F.col("big")).alias("small"), "parts", F.ceil(F.col("members") / BLOCK).alias("blocks")), "mixed", few=True)
     rows = rows.join(_only(signed.select("rid", "n", "bands", "minima"), rows), "rid")
     # A cell is a block of members and a part of those that pass.
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -326,7 +326,7 @@ def _block_links(named: DataFrame, signed: DataFrame, size: int, percent: int) -
     past = rows.where("small").withColumn("part", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("parts"))).withColumn("block", numbers("blocks")).withColumn("kind", F.lit(1))
     own, past = (x.withColumn("cell", F.col("block") * F.col("parts") + F.col("part")) for x in (own, past))
     columns = ["bucket", "cell", "kind", "rid", "root", "small", "n", "bands", "minima"]
-    likely = settle(_cells(own.select(columns).unionAll(past.select(columns)), _estimate(percent)), "likely")
+    likely = settle(_cells(own.select(columns).unionAll(past.select(columns)), _estimate(percent)), "likely", few=True)
     return _cells(likely.join(_only(signed.select("rid", "text"), likely), "rid").select(*columns, "text"), _verify(size, percent))
 
 
@@ -337,26 +337,26 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "
     """
     signed = signatures(docs, size, id_col, text_col, carry)
     best = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.col("rid"))).alias("best")
-    classes = settle(signed.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("rid").alias("node"), best, F.count("*").alias("copies")), "classes")
+    classes = settle(signed.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("rid").alias("node"), best, F.count("*").alias("copies")), "classes", few=True)
     stands = signed.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi")
-    banded = settle(stands.select("rid", F.explode("bands").alias("bucket")), "bands")
+    banded = settle(stands.select("rid", F.explode("bands").alias("bucket")), "bands", few=True)
 
     buckets = banded.groupBy("bucket").agg(F.min("rid").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    shared = settle(banded.join(buckets, "bucket"), "shared")
-    pairs = settle(shared.where("rid != centre").select("centre", "rid").distinct(), "pairs")
+    shared = settle(banded.join(buckets, "bucket"), "shared", few=True)
+    pairs = settle(shared.where("rid != centre").select("centre", "rid").distinct(), "pairs", few=True)
     roots = components(_star_links(pairs, signed, size, percent))
     drop(banded, pairs)
 
     named = shared.where("members > 2").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "members", "rid", F.coalesce("root", "rid").alias("root"))
-    more = settle(_block_links(named, signed, size, percent), "links")
+    more = settle(_block_links(named, signed, size, percent), "links", few=True)
     drop(shared)
     if not more.isEmpty():
         upper = components(more)
         every = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
-        roots = settle(every.unionAll(upper), "roots")
+        roots = settle(every.unionAll(upper), "roots", few=True)
 
     joined = classes.join(roots, "node", "left").select("node", "key1", "key2", F.col("n").alias("size"), "best", F.coalesce("root", "node").alias("root"))
-    least = settle(joined.groupBy("root").agg(F.min("best").alias("least"), F.count("*").alias("n")), "least")
+    least = settle(joined.groupBy("root").agg(F.min("best").alias("least"), F.count("*").alias("n")), "least", few=True)
     named = join_dealt(joined, least.drop("n"), ["root"], "node", parts_of(least, ["root"])).select("key1", "key2", F.col("size").alias("n"), "least")
     extra = ["rid", "text", "row"] if carry else []
     full = join_dealt(signed.where("n > 0").select("doc_id", "rid", "n", "key1", "key2", *extra[1:]), named, ["key1", "key2", "n"], "rid", parts_of(classes, ["key1", "key2", "n"], "copies"))

@@ -28,20 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of a key in one part; buckets of keys whose greatest number of parts is shipped.
 PART, PART_BUCKETS = 256, 1 << 16
+#: Bytes of the stored tables read for which a table settled in few files may have one more file, and files it may have for each core anyway.
+FILE_BYTES, FILES_A_CORE = 4 << 20, 2
 #: Tables that this process has settled and not released, oldest first.
 _settled: list[str] = []
 #: The path of each settled table that is still in use.
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
+def files(df: DataFrame) -> int:
+    """How many files a result is worth: two a core, or one for each ``FILE_BYTES`` of the tables that it reads, if that is more."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    stored = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-stored // FILE_BYTES))
+
+
+def settle(df: DataFrame, what: str, few: bool = False) -> DataFrame:
     """Writes an intermediate result as Parquet to the shared folder and reads it again, so that its lineage ends there.
 
     A lost executor loses nothing of it, and each use reads it instead of computing it again. The tables stay until
-    they are released, as a result may still be read from them.
+    they are released, as a result may still be read from them. With ``few`` the last tasks take several partitions
+    each where there are more of them than ``files``: on Hadoop's local file system each file starts some six processes.
     """
     path = f"{shared_dir(df.sparkSession)}/tidelog/{what}-{uuid.uuid4().hex}"
     _settled.append(path)
+    if few and (n := files(df)) < 1 << 31:
+        df = df.coalesce(n)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
