@@ -125,3 +125,32 @@ def test_stage_on_empty_repeated_and_long_rows(spark, frame):
     docs = frame([(1, long, 7), (1, long, 7), (None, None, None), (2, "", 0)], "doc_id long, text string, n_chars long")
     rows = secrets.redact(docs).collect()
     assert sorted((r.text or "").count("[REDACTED]") for r in rows) == [0, 0, 1, 1] and secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_tokens_far_from_cues_and_key_like_runs_are_tagged():
+    """A field that knows a word as a secret finds it in any line, at any place."""
+    field = secrets.Field({"bias": 0, "word:zebra": 1, "word:quagga": 2}, np.array([[4.0, 0, 0], [0, 9, -9], [0, -9, 9]]), np.array([[0, 0, -1e4], [0, 0, 0], [0, 0, 0]]))
+    text = "zebra\nplain words and a zebra quagga here\n" + "x " * 3000 + "zebra"
+    assert [text[s:e] for s, _, e, *_ in secrets.all_spans(text, field)] == ["zebra", "zebra quagga", "zebra"]
+
+
+def test_stretches_equal_decoding_whole_lines():
+    """Tags of every token of every line by Viterbi over the whole line, against those of the stretches that the bounds leave."""
+    rng, field = np.random.default_rng(12), secrets.default_field()
+    marked = [m for m, _ in secrets._lines(31, 150)]
+    odd = ["Été.###", "pwd", ":", "key", "^", "-", "&", "a", "Bb", "ÀÉ", "4711", "x==", "über!", "ſecret", "日本", "deadbeef", KEY, "k.py", "A", '"', "(", "you@me.org", "aa-bb-12"]
+    texts = ["\n".join(secrets.labelled(marked[i])[0] for i in rng.integers(0, 150, 12)) for _ in range(15)]
+    texts += ["".join(odd[i] + (" ", "", "\n")[min(2, int(rng.integers(0, 9)) // 6 + int(rng.integers(0, 12)) // 11)] for i in rng.integers(0, len(odd), 40)) for _ in range(60)] + ["", "\n\n", " \n pwd"]
+    tagged = 0
+    for text in texts:
+        file, got, at = secrets.file_features(text), {}, 0
+        for spans, words, first, last in secrets.stretches(text, field, file):
+            got |= dict(zip(spans[first:last], field.decode([secrets.features(words, i, file) for i in range(first, last)]), strict=True))
+        for line in text.split("\n"):
+            spans = [m.span() for m in secrets._TOKEN.finditer(line)]
+            words = [line[a:b] for a, b in spans]
+            tags = field.decode([secrets.features(words, i, file) for i in range(len(words))]) if words else []
+            assert [got.get((at + a, at + b), 0) for a, b in spans] == tags, line
+            tagged += sum(map(bool, tags))
+            at += len(line) + 1
+    assert tagged > 50

@@ -1,14 +1,12 @@
 """Secret scan: fixed patterns plus a linear-chain conditional random field.
 
 Tokens are runs of characters between blanks, quotes, brackets and the signs
-that assign, and those signs. The field tags each token as secret begin (B),
-inside (I) or outside (O) from its shape, the neighbouring words and features
-of the whole file; Viterbi decodes. It reads the stretches of lines that
-follow a cue (a word such as key, pwd or auth) for ``REACH`` tokens and those
-around a key-like run (12 or more characters with a letter and a digit). There
-any token may be tagged, however short and whatever its characters; all other
-tokens are outside by definition, so decoding the stretches, with O at both
-ends, equals decoding whole lines.
+that assign, and those signs. The field tags each token of each line of every
+text as secret begin (B), inside (I) or outside (O) from its shape, the
+neighbouring words and features of the whole file; Viterbi decodes. Tokens
+that no path better than all O can tag are found first, from upper bounds of
+what each token gains by a tag (``Bounds``); decoding the stretches between
+them, with O at both ends, equals decoding whole lines.
 
 The weights are fitted here by maximum likelihood (forward-backward, Adam) on
 a generated set of labelled lines of fixed seed and size, on the driver, and
@@ -49,6 +47,12 @@ LEAST = {"assign": 8, "access": 16}
 
 ABLE_LENGTH = 12
 _ABLE = re.compile(r"[A-Za-z0-9+/_.=\-]{12,}")
+_NEWLINE = re.compile("\n")
+_VOWELS = "aeiouAEIOUáéíóúäöüàèù"
+_NO_VOWELS = str.maketrans("", "", _VOWELS)
+#: Edges of the buckets of a token's entropy in bits and of its share of vowels.
+_ENTROPY, _VOWEL_SHARE = (1.5, 2, 2.5, 3, 3.5, 4, 4.5), (0.1, 0.2, 0.3, 0.4)
+_PLAIN_WORD = re.compile(r"([^\W\d_]+)([.!?#$%&*]*)")
 _TOKEN = re.compile(r"""[^\s=:,;"'`()\[\]{}<>]+(?:={1,2}(?![^\s"'`,;)\]}>]))?|[=:,;"'`()\[\]{}<>]""")
 _LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 _KEY_BYTES = np.zeros(256, bool)
@@ -59,7 +63,7 @@ REDACTED = "[REDACTED]"
 CUES = ("password", "passwd", "passphrase", "passcode", "secret", "token", "apikey", "credential", "authorization", "bearer", "passwort", "kennwort", "contraseña", "mot de passe", "schlüssel", "jeton")
 SHORT_CUES = ("pwd", "pin", "key", "auth", "login", "pass", "clave", "basic", "otp", "psk")
 _CUE = re.compile(rf"{'|'.join(CUES)}|(?<![^\W\d_])(?:{'|'.join(SHORT_CUES)})(?![^\W\d_])", re.IGNORECASE)
-#: Tokens after a cue, and on both sides of a key-like run, that are read.
+#: Tokens after a cue, and on both sides of a key-like run, of a likely stretch.
 REACH, AROUND = 10, 2
 
 
@@ -89,13 +93,13 @@ def _shape(token: str) -> tuple[str, ...]:
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in token]
     counts = {k: kinds.count(k) for k in "duls"}
     entropy = -sum(c / n * math.log2(c / n) for c in (token.count(x) for x in set(token)))
-    vowels = sum(c in "aeiouAEIOUáéíóúäöüàèù" for c in token) / n
+    vowels = sum(c in _VOWELS for c in token) / n
     switches = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n
     case = sum(a + b == "lu" for a, b in zip(kinds, kinds[1:], strict=False))
     ending = token.rpartition(".")[2].lower() if "." in token and len(token.rpartition(".")[2]) <= 5 else ""
     return (
         "bias", f"len:{_bucket(n, 2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 40, 64)}", "kinds:" + "".join(k for k in "duls" if counts[k]),
-        f"digits:{_bucket(counts['d'] / n, 0.01, 0.1, 0.2, 0.35, 0.6, 0.9, 1)}", f"entropy:{_bucket(entropy, 1.5, 2, 2.5, 3, 3.5, 4, 4.5)}", f"vowels:{_bucket(vowels, 0.1, 0.2, 0.3, 0.4)}:{counts['d'] > 0}",
+        f"digits:{_bucket(counts['d'] / n, 0.01, 0.1, 0.2, 0.35, 0.6, 0.9, 1)}", f"entropy:{_bucket(entropy, *_ENTROPY)}", f"vowels:{_bucket(vowels, *_VOWEL_SHARE)}:{counts['d'] > 0}",
         f"switches:{_bucket(switches, 0.05, 0.1, 0.2, 0.35, 0.5)}", f"case:{min(case, 3)}", f"dots:{min(3, token.count('.'))}", f"dashes:{min(4, token.count('-'))}", f"slashes:{min(3, token.count('/'))}",
         f"marks:{min(2, sum(c in '!@#$%^&*~?|' for c in token))}", f"hex:{bool(re.fullmatch(r'[0-9a-f]+', token))}", f"uuid:{[len(x) for x in token.split('-')] == [8, 4, 4, 4, 12]}", f"tail:{ending}",
         f"eq:{token.endswith('=')}", f"at:{bool(re.fullmatch(r'[^@]+@[^@]+[.][a-z]+', token))}", f"word:{token.lower() if token.isalpha() and n <= 10 else ''}", f"head:{token[:3].lower() if n > 6 and token[:2].isalpha() else ''}", f"cue:{bool(_CUE.search(token))}",
@@ -195,7 +199,7 @@ def _lines(seed: int, n: int, styles: tuple[str, ...] = STYLES):
 
 
 def _runs(text: str):
-    """Stretches that are read, as (tokens of the line as (start, end), their words, first and end of the stretch)."""
+    """Stretches where secrets are likeliest (after cues, around key-like runs), as (tokens of the line as (start, end), their words, first and end of the stretch)."""
     marks = [(m.start(), m.end(), False) for m in _CUE.finditer(text)] + [(m.start(), m.end(), True) for m in _ABLE.finditer(text) if able(m.group())]
     marks.sort()
     i = 0
@@ -227,15 +231,25 @@ class Field:
     def __init__(self, index: dict[str, int], weight: np.ndarray, move: np.ndarray):
         self.weight = {f: tuple(weight[i]) for f, i in index.items()}
         self.move = move.tolist()
+        self._bounds: Bounds | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_bounds": None}
+
+    @property
+    def bounds(self) -> Bounds:
+        """Made on first use in each process, never shipped."""
+        self._bounds = self._bounds or Bounds(self)
+        return self._bounds
 
     def decode(self, run: list[list[str]]) -> list[int]:
         """Viterbi over one run between two O tokens. I follows only B or I."""
         move, best, back = self.move, [0.0, -math.inf, -math.inf], []
         for active in run:
-            own = [0.0, 0.0, 0.0]
-            for f in active:
-                for y, w in enumerate(self.weight.get(f, ())):
-                    own[y] += w
+            o = b = i = 0.0
+            for w in filter(None, map(self.weight.get, active)):
+                o, b, i = o + w[0], b + w[1], i + w[2]
+            own = (o, b, i)
             step = [max((best[x] + move[x][y], x) for x in range(3)) for y in range(3)]
             back.append([x for _, x in step])
             best = [s + o for (s, _), o in zip(step, own, strict=True)]
@@ -262,19 +276,19 @@ def labelled(marked: str) -> tuple[str, list[tuple[int, int]]]:
 
 
 def _examples(seed: int, n: int, styles: tuple[str, ...]) -> tuple[list, list]:
-    """Features and tags of the tokens of generated lines' stretches."""
+    """Features and tags of all tokens of generated lines."""
     runs, tags = [], []
     for marked, file in _lines(seed, n, styles):
         text, places = labelled(marked)
-        for spans, words, first, last in _runs(text):
-            runs.append([features(words, i, file) for i in range(first, last)])
-            own = [next((1 if a <= x else 2 for x, y in places if a < y and x < b), 0) for a, b in spans[first:last]]
-            tags.append(own)
+        spans = [m.span() for m in _TOKEN.finditer(text)]
+        words = [text[a:b] for a, b in spans]
+        runs.append([features(words, i, file) for i in range(len(words))])
+        tags.append([next((1 if a <= x else 2 for x, y in places if a < y and x < b), 0) for a, b in spans])
     return runs, tags
 
 
 def fit(n: int = 3000, seed: int = 11, rounds: int = 80, penalty: float = 3e-4, styles: tuple[str, ...] = STYLES) -> Field:
-    """Maximum likelihood with forward-backward over the stretches of generated lines."""
+    """Maximum likelihood with forward-backward over generated lines."""
     runs, tags = _examples(seed, n, styles)
     index: dict[str, int] = {}
     seen = Counter(f for run in runs for active in run for f in active)
@@ -346,6 +360,143 @@ def default_field() -> Field:
 
 # ---- scanning ---------------------------------------------------------------
 
+
+class _Numbers(dict):
+    """A number for each token, given on first use."""
+
+    def __init__(self, add):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, token: str) -> int:
+        self[token] = out = self.add(token)
+        return out
+
+
+class Bounds:
+    """Upper bounds of what B and I gain over O, from tables of tokens and of their neighbours; exact but for the signs and cues before a token."""
+
+    #: Tokens whose tables are kept; after that they start anew.
+    KEPT = 1 << 18
+    MARGIN = 1e-3
+
+    def __init__(self, field: Field):
+        self.weight, move = field.weight, np.array(field.move)
+        self.step, self.end = np.array([move[:, 1].max(), move[1:, 2].max()]) - move[0, 0], move[1:, 0].max() - move[0, 0]
+        names = {m[1] for f in self.weight if (m := re.fullmatch(r"(?:p[1-4]|n[12]):(.*)", f, re.S) or re.fullmatch(r"p1len:(.*):\d", f, re.S))}
+        self.kinds = {c: k for k, c in enumerate(sorted(names | {"^", "$"}), 1)}
+        kinds = ["", *self.kinds]
+        none = lambda f, c: self._gain(f) if c else np.zeros(2)
+        self.past = np.array([[none(f"p{k}:{c}", c) for c in kinds] for k in range(1, 5)])
+        self.next = np.array([[none(f"n{k}:{c}", c) for c in kinds] for k in (1, 2)])
+        self.size = np.array([none(f"p1len:{c}:{n}", c) for c in kinds for n in range(5)])
+        self.most = {g: np.maximum(0, np.max([self._gain(f) for f in self.weight if f.startswith(g)] or [[0, 0]], axis=0)) for g in ("cue@9:", "cue@", "signs:")}
+        self.bare, self.first = self._gain("cue@9:"), self._gain("cue@9:^")
+        self._clear()
+
+    def _gain(self, feature: str) -> np.ndarray:
+        w = self.weight.get(feature, (0.0, 0.0, 0.0))
+        return np.array([w[1] - w[0], w[2] - w[0]])
+
+    def _clear(self) -> None:
+        self.ids, self.rows, self.words, self.entropies = _Numbers(self._add), [], {}, {}
+        self.table = np.zeros((0, 8))
+
+    def _add(self, token: str) -> int:
+        """A row of the tables: gains with no cue before it and with one, number as a neighbour, bucket of its length, whether it is a sign and whether a cue."""
+        if not (m := _PLAIN_WORD.fullmatch(token)) or _CUE.search(token) or not (all(map(str.islower, rest := m[1][1:])) and (m[1][0].islower() or m[1][0].isupper())):
+            shape, word = _shape(token), _word(token)
+            row = (*self._both(shape), self.kinds.get(word, 0), _bucket(len(token), 6, 10, 20, 32), len(word) == 1 and not word.isalnum(), word.startswith("cue"))
+        else:
+            low, n = token.lower(), len(token)
+            counts = tuple(sorted([token.count(x) for x in set(token)]))
+            if (entropy := self.entropies.get(counts)) is None:
+                exact = -sum(c / n * math.log2(c / n) for c in counts)
+                entropy = self.entropies[counts] = tuple(_bucket(exact + e, *_ENTROPY) for e in (-1e-9, 1e-9))
+            key = (m[1][0].islower(), len(rest), m[2], entropy, _bucket((n - len(token.translate(_NO_VOWELS))) / n, *_VOWEL_SHARE), not token.strip("0123456789abcdef"))
+            if (row := self.words.get(key)) is None:
+                row = self.words[key] = self._plain(*key)
+            exact = [self.weight.get(f"word:{low if n <= 10 and not m[2] else ''}"), self.weight.get(f"head:{low[:3] if n > 6 and token[:2].isalpha() else ''}")]
+            for w in filter(None, exact):
+                row = (row[0] + w[1] - w[0], row[1] + w[2] - w[0], row[2] + w[1] - w[0], row[3] + w[2] - w[0], *row[4:])
+            if not m[2] and n <= 12:
+                row = (*row[:4], self.kinds.get(low, 0), *row[5:])
+        self.rows.append(row)
+        return len(self.ids)
+
+    def _both(self, shape: tuple[str, ...], more: np.ndarray | float = 0.0) -> tuple[float, ...]:
+        every = sum(map(self._gain, shape)) + more
+        bare = self._gain(f"cue:False:{shape[1]}") + self._gain(f"cue:False:{shape[2]}") + self._gain(f"signs::{shape[2]}")
+        cued = self._gain(f"cue:True:{shape[1]}") + self._gain(f"cue:True:{shape[2]}") + self.most["signs:"]
+        return (*(every + bare).tolist(), *(every + cued).tolist())
+
+    def _plain(self, lower: bool, rest: int, marks: str, entropy: tuple[int, int], vowels: int, hexes: bool) -> tuple:
+        """The row of words of lower-case letters (but for the first), ended by marks, without what depends on the letters themselves."""
+        like = ("b" if lower else "B") + "b" * rest + marks
+        shape = tuple(f for f in _shape(like) if not f.startswith(("entropy:", "vowels:", "hex:", "word:", "head:")))
+        # A value at the edge of two buckets may be in either.
+        most = np.maximum(*(self._gain(f"entropy:{k}") for k in entropy)) + self._gain(f"vowels:{vowels}:False") + self._gain(f"hex:{hexes}")
+        return (*self._both(shape, most), self.kinds.get("other", 0), _bucket(len(like), 6, 10, 20, 32), False, False)
+
+    def gains(self, words: list[str], line: np.ndarray, file: tuple[str, ...]) -> np.ndarray:
+        """At most what each token adds to a path by a tag; line: the number of each token's line, ascending."""
+        if len(self.ids) > self.KEPT:
+            self._clear()
+        n, ids = len(words), np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        if self.rows:
+            end = len(self.ids)
+            if end > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((end, 8))])
+            self.table[end - len(self.rows) : end], self.rows = self.rows, []
+        own = self.table[ids]
+        kind, length, signs, cues = own[:, 4].astype(np.int64), own[:, 5].astype(np.int64), own[:, 6] > 0, own[:, 7] > 0
+        at = np.arange(n)
+        first, last = np.searchsorted(line, line), np.searchsorted(line, line, "right") - 1
+        place, rest = at - first, last - at
+        start, stop = self.kinds["^"], self.kinds["$"]
+        sign, cue = np.zeros(n, bool), np.zeros(n, bool)
+        add = np.zeros((n, 2))
+        for k in range(1, 5):
+            before, inside = np.maximum(at - k, 0), place >= k
+            near = np.where(inside, kind[before], np.where(place == k - 1, start, 0))
+            add += self.past[k - 1][near]
+            sign |= inside & signs[before]
+            cue |= inside & cues[before]
+            if k == 1:
+                add += self.size[near * 5 + length]
+        for k in (1, 2):
+            after = np.minimum(at + k, n - 1)
+            add += self.next[k - 1][np.where(rest >= k, kind[after], np.where(rest == k - 1, stop, 0))]
+        add += np.where(cue[:, None], own[:, 2:4], own[:, :2])
+        add += np.where(cue[:, None], self.most["cue@"], np.where(sign[:, None], self.most["cue@9:"], np.where(place[:, None] < 4, self.first, self.bare)))
+        return (add + sum(self._gain(f"file:{f}") for f in file) + self.step).max(axis=1)
+
+    def live(self, words: list[str], line: np.ndarray, file: tuple[str, ...]) -> np.ndarray:
+        """Tokens that a stretch of tags with a positive gain could cover; on the best path all others are outside."""
+        gain = self.gains(words, line, file)
+        gap = np.abs(gain).sum() + 1
+        after = np.cumsum(gain) - gap * line
+        before = after - gain
+        best = after - np.minimum.accumulate(before) + np.maximum.accumulate(after[::-1])[::-1] - before - gain
+        return best + self.end > -self.MARGIN - 1e-12 * np.abs(after)
+
+
+def stretches(text: str, field: Field, file: tuple[str, ...]):
+    """Stretches of tokens that may be tagged, as ``_runs`` gives them; all other tokens are outside."""
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    if not spans:
+        return
+    words = [text[a:b] for a, b in spans]
+    line = np.searchsorted([m.start() for m in _NEWLINE.finditer(text)], [a for a, _ in spans])
+    live = field.bounds.live(words, line, file)
+    if not live.any():
+        return
+    at = np.flatnonzero(live)
+    for run in np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(line[at]) > 0)) + 1):
+        low, high = np.searchsorted(line, line[run[0]]), np.searchsorted(line, line[run[0]], "right")
+        yield spans[low:high], words[low:high], int(run[0] - low), int(run[-1] + 1 - low)
+
+
 Span = tuple[int, int, int, int, int]
 
 
@@ -359,11 +510,12 @@ def base_spans(text: str) -> list[Span]:
     return out + [(m.start(), 2, m.end(), *m.span()) for m in HEX.finditer(text)]
 
 
-def all_spans(text: str, field: Field) -> list[Span]:
-    base = base_spans(text)
-    added, file = [], None
-    for spans, words, first, stop in _runs(text):
-        file, last = file or file_features(text), None
+def all_spans(text: str, field: Field, patterns: bool = True) -> list[Span]:
+    """Spans of the patterns (none, where a text is known to hold none) and of the field."""
+    base = base_spans(text) if patterns else []
+    added, file = [], file_features(text)
+    for spans, words, first, stop in stretches(text, field, file):
+        last = None
         tags = field.decode([features(words, i, file) for i in range(first, stop)])
         for (start, end), tag in zip(spans[first:stop], tags, strict=True):
             rest = _uncovered(start, end, base) if tag else []
@@ -417,7 +569,7 @@ def _cued(text: str) -> bool:
 
 def _spans_of(column: pa.Array, field: Field) -> list[list[Span]]:
     hot = suspects(column)
-    return [all_spans(text, field) if text and (hot[i] or _cued(text)) else [] for i, text in enumerate(column.to_pylist())]
+    return [all_spans(text, field, bool(hot[i])) if text else [] for i, text in enumerate(column.to_pylist())]
 
 
 def _joined(spans: list[Span]) -> str:
