@@ -154,3 +154,83 @@ def test_stretches_equal_decoding_whole_lines():
             tagged += sum(map(bool, tags))
             at += len(line) + 1
     assert tagged > 50
+
+
+ODD = ["Été.###", "pwd", ":", "key", "^", "-", "&", "a", "Bb", "ÀÉ", "4711", "x==", "x===", "==y", "über!", "ſecret", "\u212aey", "İx", "ıd", "日本", "deadbeef", KEY, "k.py", "A", '"', "(", "=", ")", "you@me.org", "aa-bb-12", "😀", "\u2003", "\x1c", "\x85", "ªb", "ⅷ", "ǆ", "PIN.", "Tokens?", "the", "The.", "opinion", "schlüssel", "Σ", "σς", "b" * 64, "b" * 65, "bcd" * 21 + ".", "abc...", "ab", "Internationally", "tion", "\x00"]
+
+
+def odd_texts(n, size=40, seed=5):
+    rng = np.random.default_rng(seed)
+    return ["".join(ODD[i] + (" ", "", "\n", "=", ",")[int(k)] for i, k in zip(rng.integers(0, len(ODD), size), rng.choice(5, size, p=[0.6, 0.15, 0.1, 0.1, 0.05]), strict=True)) for _ in range(n)]
+
+
+def test_tokens_of_blocks_are_those_of_the_pattern(monkeypatch):
+    texts = ["", *odd_texts(150), "\n\n", "a=", "a==", "a===", "=", "x"]
+    tokens, at = secrets.Tokens(texts), 0
+    got = list(zip(tokens.doc.tolist(), tokens.start.tolist(), tokens.end.tolist(), tokens.place.tolist(), tokens.rest.tolist(), strict=True))
+    want = []
+    for i, text in enumerate(texts):
+        for line in text.split("\n"):
+            spans = [m.span() for m in secrets._TOKEN.finditer(line)]
+            want += [(i, at + a, at + b, k, len(spans) - 1 - k) for k, (a, b) in enumerate(spans)]
+            at += len(line) + 1
+    assert got == want
+    monkeypatch.setattr(secrets, "BLOCK", 50)
+    for text in texts:
+        pieces = list(secrets._cut(text))
+        assert "".join(p for _, p in pieces) == text and all(text[a:].startswith(p) and (a == 0 or text[a - 1] == "\n") for a, p in pieces)
+
+
+def test_bounds_are_no_less_than_exact_gains_and_equal_where_no_cue_is_near():
+    texts, rng = odd_texts(60), np.random.default_rng(8)
+    files = [secrets.file_features(t) for t in texts]
+    tokens, active = secrets.Tokens(texts), []
+    for text, file in zip(texts, files, strict=True):
+        for line in text.split("\n"):
+            words = [m.group() for m in secrets._TOKEN.finditer(line)]
+            active += [secrets.features(words, i, file) for i in range(len(words))]
+    names = sorted({f for a in active for f in a if rng.random() < 0.9})
+    weight = rng.normal(0, 1, (len(names), 3))
+    field = secrets.Field({f: i for i, f in enumerate(names)}, weight, np.array([[0.1, 0.2, -1e4], [0.3, 0.4, 0.5], [0.6, 0.7, 0.8]]))
+    own = np.array([np.sum([field.weight.get(f, (0, 0, 0)) for f in a], axis=0) for a in active])
+    exact = (own[:, 1:] - own[:, :1] + field.bounds.step).max(axis=1)
+    near = np.array([any(f == "cue:True:" + a[1] for f in a) for a in active])
+    gain = field.bounds.gains(tokens, files)
+    assert (gain > exact - 1e-9).all() and 100 < near.sum() < len(near) - 300
+    assert np.abs(gain - exact)[~near].max() < 1e-9
+
+
+def test_tokens_deep_in_a_line_gain_by_what_does_not_precede_them():
+    """No sign and no cue before a token speaks for it at every place of the line alike."""
+    field = secrets.Field({"bias": 0, "cue@9:^": 1, "word:zebra": 2}, np.array([[6.0, 0, 0], [0, 4, 0], [0, 4, 0]]), np.array([[0, 0, -1e4], [0, 0, 0], [0, 0, 0]]))
+    text = "some plain words and then a zebra"
+    assert [text[s:e] for s, *_, e in secrets.all_spans(text, field)] == ["zebra"]
+
+
+def test_plain_words_need_no_row_and_signs_before_them_no_decoding():
+    """What the scan of prose costs: rows of tokens made one by one, and tokens that are decoded."""
+    field, rng = secrets.Field(*_weights(secrets.default_field())), np.random.default_rng(4)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "tion", "at", "en", "es", "of", "or"]
+    words = ["".join(parts[i] for i in rng.integers(0, 14, rng.integers(1, 6))) + "., "[int(rng.integers(0, 30)) % 3 if rng.random() < 0.2 else 2].strip() for _ in range(20_000)]
+    text = " ".join(words)
+    runs = secrets.stretches(text, field, secrets.file_features(text))
+    runs = list(runs)
+    assert len(set(words)) > 8_000 and len(field.bounds.ids) < 100
+    assert sum(last - first for _, _, first, last in runs) < 200
+
+
+def _weights(field):
+    names = list(field.weight)
+    return {f: i for i, f in enumerate(names)}, np.array([field.weight[f] for f in names]), np.array(field.move)
+
+
+def test_cut_texts_give_the_spans_of_whole_ones(monkeypatch):
+    field = secrets.default_field()
+    lines = [secrets.labelled(m)[0] for m, _ in secrets._lines(77, 300)]
+    text = "😀\n" + "\n".join(lines) + "\n" + " ".join(lines[:40])
+    want = secrets.all_spans(text, field)
+    for size in (1, 100, 3000):
+        monkeypatch.setattr(secrets, "BLOCK", size)
+        assert secrets.all_spans(text, field) == want
+        assert secrets._spans_of(pa.array([text, None, "", text]), field) == [want, [], [], want]
+    assert sum(k == 3 for _, k, *_ in want) > 50

@@ -5,8 +5,9 @@ that assign, and those signs. The field tags each token of each line of every
 text as secret begin (B), inside (I) or outside (O) from its shape, the
 neighbouring words and features of the whole file; Viterbi decodes. Tokens
 that no path better than all O can tag are found first, from upper bounds of
-what each token gains by a tag (``Bounds``); decoding the stretches between
-them, with O at both ends, equals decoding whole lines.
+what each token gains by a tag (``Bounds``), by NumPy passes over about a
+million characters at a time; decoding the stretches between them, with O at
+both ends, equals decoding whole lines.
 
 The weights are fitted here by maximum likelihood (forward-backward, Adam) on
 a generated set of labelled lines of fixed seed and size, on the driver, and
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidelog.llm.shared import pick
-from tidelog.llm.words import Rule, Words, steps
+from tidelog.llm.words import U64, Rule, Words, mix, steps
 
 KINDS = ("assign", "access", "hex", "crf")
 # The three patterns and their least lengths.
@@ -47,12 +48,14 @@ LEAST = {"assign": 8, "access": 16}
 
 ABLE_LENGTH = 12
 _ABLE = re.compile(r"[A-Za-z0-9+/_.=\-]{12,}")
-_NEWLINE = re.compile("\n")
 _VOWELS = "aeiouAEIOUáéíóúäöüàèù"
-_NO_VOWELS = str.maketrans("", "", _VOWELS)
 #: Edges of the buckets of a token's entropy in bits and of its share of vowels.
 _ENTROPY, _VOWEL_SHARE = (1.5, 2, 2.5, 3, 3.5, 4, 4.5), (0.1, 0.2, 0.3, 0.4)
-_PLAIN_WORD = re.compile(r"([^\W\d_]+)([.!?#$%&*]*)")
+#: Marks that may end a plain word, ascending.
+_MARKS = "!.?"
+_MARK_CODES = np.array([*map(ord, _MARKS)], np.uint16)
+#: Characters of texts that are read at once.
+BLOCK = 1 << 20
 _TOKEN = re.compile(r"""[^\s=:,;"'`()\[\]{}<>]+(?:={1,2}(?![^\s"'`,;)\]}>]))?|[=:,;"'`()\[\]{}<>]""")
 _LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 _KEY_BYTES = np.zeros(256, bool)
@@ -373,16 +376,93 @@ class _Numbers(dict):
         return out
 
 
+class _Characters:
+    """Tables by character of the basic plane, made on first use in each process; its last one, 0xFFFF, stands for those of all others."""
+
+    _made: _Characters | None = None
+
+    def __init__(self):
+        n = 1 << 16
+        #: 0: part of tokens, 1: blank, 2: a token of its own.
+        self.place = np.zeros(n, np.uint8)
+        #: Letters that tables can speak for, and their lower case (1 for all other characters).
+        self.lower, self.upper, self.fold = np.zeros(n, bool), np.zeros(n, bool), np.ones(n, np.uint16)
+        #: What may follow the signs that end a token.
+        self.close = np.zeros(n, bool)
+        letters = set("".join(CUES + SHORT_CUES)) - {" "}
+        like = re.compile(f"[{''.join(sorted(letters))}]", re.IGNORECASE)
+        for i in (*range(0xD800), *range(0xE000, n - 1)):
+            c = chr(i)
+            if c.isspace():
+                self.place[i] = 1
+            elif c.isalpha() and (c.islower() or c.isupper()) and len(low := c.lower()) == 1 and (low in letters or not like.fullmatch(c)):
+                self.lower[i], self.upper[i], self.fold[i] = c.islower(), c.isupper(), ord(low)
+        self.place[[*map(ord, "=:,;\"'`()[]{}<>")]] = 2
+        self.close[[*map(ord, "\"'`,;)]}>")]] = True
+        self.close |= self.place == 1
+        self.vowel, self.hex, self.mark = (np.isin(np.arange(n), [*map(ord, x)]) for x in (_VOWELS, "abcdef", _MARKS))
+
+    @classmethod
+    def get(cls) -> _Characters:
+        cls._made = cls._made or cls()
+        return cls._made
+
+
+class Tokens:
+    """Tokens of texts, as ``_TOKEN`` finds them: ``start`` and ``end`` in the joined text, ``place`` in and ``rest`` to the end of the line, ``line``."""
+
+    def __init__(self, texts: list[str]):
+        self.text = "\n".join(texts)
+        self.chars = np.minimum(np.frombuffer((self.text + "\n\n\n").encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF).astype(np.uint16)
+        c, table = self.chars, _Characters.get()
+        place = table.place[c]
+        inside, sign = place == 0, place == 2
+        edge = np.concatenate([[False], inside])
+        head, last = inside & ~edge[:-1], inside & ~np.append(edge[2:], False)
+        # One or two signs = end a token where none but a blank, quote or closing sign follows.
+        e = np.flatnonzero(last[:-3]) + 1
+        e = e[c[e] == 61]
+        n = 1 + (c[e + 1] == 61)
+        ok = table.close[c[e + n]]
+        e, n = e[ok], n[ok]
+        last[e - 1] = False
+        last[e + n - 1] = True
+        sign[e] = sign[e + n - 1] = False
+        self.start, self.end = np.flatnonzero(head | sign), np.flatnonzero(last | sign) + 1
+        self.line = np.searchsorted(np.flatnonzero(c == 10), self.start)
+        at = np.arange(len(self.start))
+        first = np.append(True, np.diff(self.line) > 0)[: len(at)]
+        self.place = at - np.maximum.accumulate(np.where(first, at, 0))
+        self.rest = np.minimum.accumulate(np.where(np.append(first[1:], True)[: len(at)], at, len(at))[::-1])[::-1] - at
+        self.doc = np.searchsorted(np.cumsum([len(x) + 1 for x in texts]), self.start, "right")
+
+    def words(self, at: np.ndarray | slice) -> list[str]:
+        return [self.text[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+
+
+def _within(mask: np.ndarray, tokens: Tokens) -> np.ndarray:
+    """How many characters of each token a mask has."""
+    total = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=total[1:], dtype=np.int32)
+    return total[tokens.end] - total[tokens.start]
+
+
 class Bounds:
-    """Upper bounds of what B and I gain over O, from tables of tokens and of their neighbours; exact but for the signs and cues before a token."""
+    """Upper bounds of what B and I gain over O; exact but for the signs and cues of tokens after a cue.
+
+    Plain words (letters, lower-case but for the first, and at most one mark) are summed from tables by NumPy passes
+    over a block of texts; every other token has a row in ``table``, made from its features when it is first met.
+    """
 
-    #: Tokens whose tables are kept; after that they start anew.
+    #: Tokens whose rows are kept; after that they start anew.
     KEPT = 1 << 18
     MARGIN = 1e-3
+    #: Letters of the longest words that a feature names, and characters of the longest token by tables.
+    NAMED, LONG = 12, 64
 
     def __init__(self, field: Field):
         self.weight, move = field.weight, np.array(field.move)
-        self.step, self.end = np.array([move[:, 1].max(), move[1:, 2].max()]) - move[0, 0], move[1:, 0].max() - move[0, 0]
+        self.step, self.close = np.array([move[:, 1].max(), move[1:, 2].max()]) - move[0, 0], move[1:, 0].max() - move[0, 0]
         names = {m[1] for f in self.weight if (m := re.fullmatch(r"(?:p[1-4]|n[12]):(.*)", f, re.S) or re.fullmatch(r"p1len:(.*):\d", f, re.S))}
         self.kinds = {c: k for k, c in enumerate(sorted(names | {"^", "$"}), 1)}
         kinds = ["", *self.kinds]
@@ -390,111 +470,234 @@ class Bounds:
         self.past = np.array([[none(f"p{k}:{c}", c) for c in kinds] for k in range(1, 5)])
         self.next = np.array([[none(f"n{k}:{c}", c) for c in kinds] for k in (1, 2)])
         self.size = np.array([none(f"p1len:{c}:{n}", c) for c in kinds for n in range(5)])
-        self.most = {g: np.maximum(0, np.max([self._gain(f) for f in self.weight if f.startswith(g)] or [[0, 0]], axis=0)) for g in ("cue@9:", "cue@", "signs:")}
-        self.bare, self.first = self._gain("cue@9:"), self._gain("cue@9:^")
+        self.most = {g: np.maximum(0, np.max([self._gain(f) for f in self.weight if f.startswith(g)] or [[0, 0]], axis=0)) for g in ("cue@", "signs:")}
+        # Signs since the start of the line, where no cue is near: numbers in base ``signs + 2``, the greatest digit for unknown ones.
+        series = {f[6:] for f in self.weight if f.startswith("cue@9:")}
+        self.signs = {c: k for k, c in enumerate(sorted({"^"}.union(*series)), 1)}
+        numbers = {}
+        for x in series:
+            number = 0
+            for c in x:
+                number = number * (len(self.signs) + 2) + self.signs[c]
+            numbers[number] = self._gain(f"cue@9:{x}")
+        self.series, self.series_gain = self._sorted(numbers)
         self._clear()
+        self._tables()
 
     def _gain(self, feature: str) -> np.ndarray:
         w = self.weight.get(feature, (0.0, 0.0, 0.0))
         return np.array([w[1] - w[0], w[2] - w[0]])
 
+    @staticmethod
+    def _sorted(gains: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = sorted(gains)
+        return np.array([*keys, (1 << 63) - 1], np.int64), np.array([*(gains[k] for k in keys), np.zeros(2)])
+
     def _clear(self) -> None:
-        self.ids, self.rows, self.words, self.entropies = _Numbers(self._add), [], {}, {}
+        self.ids, self.rows, self.ends = _Numbers(self._add), [], {}
         self.table = np.zeros((0, 8))
 
     def _add(self, token: str) -> int:
-        """A row of the tables: gains with no cue before it and with one, number as a neighbour, bucket of its length, whether it is a sign and whether a cue."""
-        if not (m := _PLAIN_WORD.fullmatch(token)) or _CUE.search(token) or not (all(map(str.islower, rest := m[1][1:])) and (m[1][0].islower() or m[1][0].isupper())):
-            shape, word = _shape(token), _word(token)
-            row = (*self._both(shape), self.kinds.get(word, 0), _bucket(len(token), 6, 10, 20, 32), len(word) == 1 and not word.isalnum(), word.startswith("cue"))
-        else:
-            low, n = token.lower(), len(token)
-            counts = tuple(sorted([token.count(x) for x in set(token)]))
-            if (entropy := self.entropies.get(counts)) is None:
-                exact = -sum(c / n * math.log2(c / n) for c in counts)
-                entropy = self.entropies[counts] = tuple(_bucket(exact + e, *_ENTROPY) for e in (-1e-9, 1e-9))
-            key = (m[1][0].islower(), len(rest), m[2], entropy, _bucket((n - len(token.translate(_NO_VOWELS))) / n, *_VOWEL_SHARE), not token.strip("0123456789abcdef"))
-            if (row := self.words.get(key)) is None:
-                row = self.words[key] = self._plain(*key)
-            exact = [self.weight.get(f"word:{low if n <= 10 and not m[2] else ''}"), self.weight.get(f"head:{low[:3] if n > 6 and token[:2].isalpha() else ''}")]
-            for w in filter(None, exact):
-                row = (row[0] + w[1] - w[0], row[1] + w[2] - w[0], row[2] + w[1] - w[0], row[3] + w[2] - w[0], *row[4:])
-            if not m[2] and n <= 12:
-                row = (*row[:4], self.kinds.get(low, 0), *row[5:])
-        self.rows.append(row)
+        """A row of the table: gains with no cue before it and with one, number as a neighbour, bucket of its length, number as a sign (0: none) and whether it is a cue."""
+        word = _word(token)
+        sign = self.signs.get(word, len(self.signs) + 1) if len(word) == 1 and not word.isalnum() else 0
+        self.rows.append((*self._both(_shape(token)), self.kinds.get(word, 0), _bucket(len(token), 6, 10, 20, 32), sign, word.startswith("cue")))
         return len(self.ids)
 
-    def _both(self, shape: tuple[str, ...], more: np.ndarray | float = 0.0) -> tuple[float, ...]:
-        every = sum(map(self._gain, shape)) + more
-        bare = self._gain(f"cue:False:{shape[1]}") + self._gain(f"cue:False:{shape[2]}") + self._gain(f"signs::{shape[2]}")
-        cued = self._gain(f"cue:True:{shape[1]}") + self._gain(f"cue:True:{shape[2]}") + self.most["signs:"]
-        return (*(every + bare).tolist(), *(every + cued).tolist())
-
-    def _plain(self, lower: bool, rest: int, marks: str, entropy: tuple[int, int], vowels: int, hexes: bool) -> tuple:
-        """The row of words of lower-case letters (but for the first), ended by marks, without what depends on the letters themselves."""
-        like = ("b" if lower else "B") + "b" * rest + marks
-        shape = tuple(f for f in _shape(like) if not f.startswith(("entropy:", "vowels:", "hex:", "word:", "head:")))
-        # A value at the edge of two buckets may be in either.
-        most = np.maximum(*(self._gain(f"entropy:{k}") for k in entropy)) + self._gain(f"vowels:{vowels}:False") + self._gain(f"hex:{hexes}")
-        return (*self._both(shape, most), self.kinds.get("other", 0), _bucket(len(like), 6, 10, 20, 32), False, False)
-
-    def gains(self, words: list[str], line: np.ndarray, file: tuple[str, ...]) -> np.ndarray:
-        """At most what each token adds to a path by a tag; line: the number of each token's line, ascending."""
-        if len(self.ids) > self.KEPT:
-            self._clear()
-        n, ids = len(words), np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+    def _both(self, shape: tuple[str, ...]) -> tuple[float, float, float, float]:
+        if (ends := self.ends.get(shape[1:3])) is None:
+            bare = self._gain(f"cue:False:{shape[1]}") + self._gain(f"cue:False:{shape[2]}") + self._gain(f"signs::{shape[2]}")
+            cued = self._gain(f"cue:True:{shape[1]}") + self._gain(f"cue:True:{shape[2]}") + self.most["signs:"]
+            ends = self.ends[shape[1:3]] = (*bare.tolist(), *cued.tolist())
+        o = b = i = 0.0
+        for w in filter(None, map(self.weight.get, shape)):
+            o, b, i = o + w[0], b + w[1], i + w[2]
+        return b - o + ends[0], i - o + ends[1], b - o + ends[2], i - o + ends[3]
+
+    def _tables(self) -> None:
+        """What plain words gain: by first letter's case, mark and number of letters; by entropy, vowels, hex digits, head and the word itself."""
+        apart = ("entropy:", "vowels:", "hex:", "word:", "head:")
+        like = [[_shape(first + "b" * n + mark) for n in range(self.LONG)] for first in "bB" for mark in ("", *_MARKS)]
+        self.plain = np.array([[self._both(tuple(f for f in x if not f.startswith(apart))) for x in row] for row in like])
+        self.entropy = np.array([self._gain(f"entropy:{k}") for k in range(len(_ENTROPY) + 1)])
+        self.vowels = np.array([self._gain(f"vowels:{k}:False") for k in range(len(_VOWEL_SHARE) + 1)])
+        self.hexes = np.array([self._gain("hex:False"), self._gain("hex:True")])
+        codes = lambda x, n: np.frombuffer(x.encode("utf-16-le", "surrogatepass").ljust(2 * n, b"\0"), np.uint16)
+        heads = {x: self._gain(f) for f in self.weight if f.startswith("head:") and len((x := f[5:]).encode("utf-16-le", "surrogatepass")) == 6}
+        self.heads, self.head_gain = self._sorted({int(codes(x, 4).view(np.int64)[0]): g for x, g in heads.items()})
+        fits = lambda x: x and len(x.encode("utf-16-le", "surrogatepass")) <= 2 * self.NAMED
+        named = sorted({x for x in (*self.kinds, *SHORT_CUES, *(f[5:] for f in self.weight if f.startswith("word:"))) if fits(x)})
+        key = np.array([codes(x, self.NAMED) for x in named]).view(np.int64)
+        order = np.argsort(self._hash(key), kind="stable")
+        self.names, self.name_hash, named = key[order], self._hash(key)[order], [named[i] for i in order]
+        # The last row is for words that no feature names.
+        self.name_kind = np.array([*(self.kinds.get(x, 0) for x in named), 0])
+        self.name_gain = np.array([*(self._gain(f"word:{x}") for x in named), np.zeros(2)])
+        self.name_cue = np.array([*(x in SHORT_CUES for x in named), False])
+
+    @staticmethod
+    def _hash(key: np.ndarray) -> np.ndarray:
+        return mix(mix(mix(key[:, 0].view(U64)) + key[:, 1].view(U64)) + key[:, 2].view(U64))
+
+    def _named(self, tokens: Tokens, at: np.ndarray, letters: np.ndarray, folded: np.ndarray) -> np.ndarray:
+        """The row of each word among the named ones, the last row for all others; hashes find it, the letters confirm."""
+        k = np.arange(self.NAMED)
+        short = np.flatnonzero(letters <= self.NAMED)
+        place = tokens.start[at[short], None] + k
+        key = np.where(k < letters[short, None], folded[np.minimum(place, len(folded) - 1)], 0).astype(np.uint16).view(np.int64)
+        i = np.minimum(np.searchsorted(self.name_hash, self._hash(key)), len(self.names) - 1)
+        out = np.full(len(at), len(self.names))
+        out[short] = np.where((self.names[i] == key).all(axis=1), i, len(self.names))
+        return out
+
+    def _entropies(self, tokens: Tokens, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Gain of the bucket of each word's entropy; the greater one where the value is at the edge of two."""
+        first = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(at)), size)
+        key = (word << 16) | tokens.chars[np.arange(len(word)) + np.repeat(tokens.start[at] - first, size)]
+        key.sort()
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        count = np.diff(np.append(new, len(key)))
+        bits = np.arange(self.LONG + 2) * np.log2(np.maximum(1, np.arange(self.LONG + 2)))
+        exact = np.log2(size) - np.bincount(key[new] >> 16, bits[count], len(at)) / size
+        low, high = (np.searchsorted(_ENTROPY, exact + e, "right") for e in (-1e-9, 1e-9))
+        return np.maximum(self.entropy[low], self.entropy[high])
+
+    def _rows_of(self, tokens: Tokens) -> np.ndarray:
+        """The row of each token, with the columns of ``table``."""
+        chars, t, n = tokens.chars, _Characters.get(), len(tokens.start)
+        size = tokens.end - tokens.start
+        mark = t.mark[chars[tokens.end - 1]] & (size > 1)
+        letters = size - mark
+        lower = t.lower[chars]
+        high = t.upper[chars[tokens.start]]
+        plain = (_within(lower, tokens) == letters - high) & (size <= self.LONG)
+        folded = t.fold[chars]
+        searched, found = folded.tobytes().decode("utf-16-le"), []
+        for cue in CUES:
+            place = searched.find(cue)
+            while place >= 0:
+                found.append(place)
+                place = searched.find(cue, place + 1)
+        plain[np.searchsorted(tokens.start, np.array(found, np.int64), "right") - 1] = False
+        at = np.flatnonzero(plain)
+        name = self._named(tokens, at, letters[at], folded)
+        cued = self.name_cue[name]
+        plain[at[cued]] = False
+        at, name = at[~cued], name[~cued]
+        own, size, letters, mark = np.zeros((n, 8)), size[at], letters[at], mark[at]
+        marks = np.where(mark, 1 + np.searchsorted(_MARK_CODES, chars[tokens.end[at] - 1]), 0)
+        own[at, :4] = self.plain[high[at] * (1 + len(_MARKS)) + marks, letters - 1]
+        whole = ~mark & (letters <= 10)
+        more = self._entropies(tokens, at, size)
+        more += self.vowels[np.searchsorted(_VOWEL_SHARE, _within(t.vowel[chars], tokens)[at] / size, "right")]
+        more += self.hexes[(_within(t.hex[chars], tokens)[at] == size).astype(np.int64)]
+        more += np.where(whole[:, None], self.name_gain[name], self._gain("word:"))
+        long = size > 6
+        start = tokens.start[at[long]]
+        key = (folded[start].astype(np.int64)) | (folded[start + 1].astype(np.int64) << 16) | (folded[start + 2].astype(np.int64) << 32)
+        i = np.searchsorted(self.heads, key)
+        more[long] += np.where((self.heads[i] == key)[:, None], self.head_gain[i], 0)
+        more[~long] += self._gain("head:")
+        own[at, :2] += more
+        own[at, 2:4] += more
+        own[at, 4] = np.where(~mark & (letters <= self.NAMED), self.name_kind[name], self.kinds.get("other", 0))
+        own[at, 5] = np.searchsorted((6, 10, 20, 32), size, "right")
+        at = np.flatnonzero(~plain)
+        sign = t.place[chars[tokens.start[at]]] == 2
+        ids = np.zeros(len(at), np.int64)
+        ids[~sign] = np.fromiter(map(self.ids.__getitem__, tokens.words(at[~sign])), np.int64, len(at) - int(sign.sum()))
+        which, each = np.unique(chars[tokens.start[at[sign]]], return_inverse=True)
+        ids[sign] = np.array([self.ids[chr(c)] for c in which], np.int64)[each]
         if self.rows:
             end = len(self.ids)
             if end > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros((end, 8))])
             self.table[end - len(self.rows) : end], self.rows = self.rows, []
-        own = self.table[ids]
-        kind, length, signs, cues = own[:, 4].astype(np.int64), own[:, 5].astype(np.int64), own[:, 6] > 0, own[:, 7] > 0
-        at = np.arange(n)
-        first, last = np.searchsorted(line, line), np.searchsorted(line, line, "right") - 1
-        place, rest = at - first, last - at
+        own[at] = self.table[ids]
+        return own
+
+    def gains(self, tokens: Tokens, files: list[tuple[str, ...]]) -> np.ndarray:
+        """At most what each token adds to a path by a tag; files: the features of each text's file."""
+        if len(self.ids) > self.KEPT:
+            self._clear()
+        own, n = self._rows_of(tokens), len(tokens.start)
+        kind, length, signs, cues = (own[:, k].astype(np.int64) for k in (4, 5, 6, 7))
         start, stop = self.kinds["^"], self.kinds["$"]
-        sign, cue = np.zeros(n, bool), np.zeros(n, bool)
+        cue, series = np.zeros(n, bool), np.full(n, self.signs["^"])
         add = np.zeros((n, 2))
-        for k in range(1, 5):
-            before, inside = np.maximum(at - k, 0), place >= k
-            near = np.where(inside, kind[before], np.where(place == k - 1, start, 0))
+        before = lambda x, k: np.append(np.zeros(k, x.dtype), x)[:n]
+        for k in range(4, 0, -1):
+            inside = tokens.place >= k
+            near = np.where(inside, before(kind, k), np.where(tokens.place == k - 1, start, 0))
             add += self.past[k - 1][near]
-            sign |= inside & signs[before]
-            cue |= inside & cues[before]
-            if k == 1:
-                add += self.size[near * 5 + length]
+            sign = np.where(inside, before(signs, k), 0)
+            series = np.where(sign > 0, series * (len(self.signs) + 2) + sign, series)
+            cue |= inside & (before(cues, k) > 0)
+        add += self.size[near * 5 + length]
         for k in (1, 2):
-            after = np.minimum(at + k, n - 1)
-            add += self.next[k - 1][np.where(rest >= k, kind[after], np.where(rest == k - 1, stop, 0))]
-        add += np.where(cue[:, None], own[:, 2:4], own[:, :2])
-        add += np.where(cue[:, None], self.most["cue@"], np.where(sign[:, None], self.most["cue@9:"], np.where(place[:, None] < 4, self.first, self.bare)))
-        return (add + sum(self._gain(f"file:{f}") for f in file) + self.step).max(axis=1)
-
-    def live(self, words: list[str], line: np.ndarray, file: tuple[str, ...]) -> np.ndarray:
+            after = np.append(kind, np.zeros(k, np.int64))[k:]
+            add += self.next[k - 1][np.where(tokens.rest >= k, after, np.where(tokens.rest == k - 1, stop, 0))]
+        i = np.searchsorted(self.series, series)
+        add += np.where(cue[:, None], own[:, 2:4] + self.most["cue@"], own[:, :2] + np.where((self.series[i] == series)[:, None], self.series_gain[i], 0))
+        add += np.array([sum(self._gain(f"file:{f}") for f in file) for file in files])[tokens.doc]
+        return (add + self.step).max(axis=1)
+
+    def live(self, tokens: Tokens, files: list[tuple[str, ...]]) -> np.ndarray:
         """Tokens that a stretch of tags with a positive gain could cover; on the best path all others are outside."""
-        gain = self.gains(words, line, file)
-        gap = np.abs(gain).sum() + 1
-        after = np.cumsum(gain) - gap * line
-        before = after - gain
-        best = after - np.minimum.accumulate(before) + np.maximum.accumulate(after[::-1])[::-1] - before - gain
-        return best + self.end > -self.MARGIN - 1e-12 * np.abs(after)
-
-
-def stretches(text: str, field: Field, file: tuple[str, ...]):
-    """Stretches of tokens that may be tagged, as ``_runs`` gives them; all other tokens are outside."""
-    spans = [m.span() for m in _TOKEN.finditer(text)]
-    if not spans:
+        gain = self.gains(tokens, files)
+        gap = np.add.reduceat(np.abs(gain), np.flatnonzero(tokens.place == 0)).max() + 1
+        after = np.cumsum(gain) - gap * tokens.line
+        best = np.maximum.accumulate(after[::-1])[::-1] - np.minimum.accumulate(after - gain)
+        return best + self.close > -self.MARGIN - 1e-10 * np.abs(after)
+
+
+def _cut(text: str):
+    """Pieces of whole lines, of about ``BLOCK`` characters (more, where a line has more), and their places."""
+    at = 0
+    while len(text) - at > BLOCK:
+        end = text.rfind("\n", at, at + BLOCK) + 1 or text.find("\n", at + BLOCK) + 1 or len(text)
+        yield at, text[at:end]
+        at = end
+    if at < len(text):
+        yield at, text[at:]
+
+
+def stretches_of(texts: list[str], field: Field, files: list[tuple[str, ...]]) -> list[list[tuple]]:
+    """For each text the stretches of tokens that may be tagged, with the tokens around them that features read, as (tokens as (start, end), their words, first and end of the stretch); all other tokens are outside."""
+    out: list[list[tuple]] = [[] for _ in texts]
+    block, size = [], 0
+    for i, text in enumerate(texts):
+        for at, piece in _cut(text):
+            if block and size + len(piece) > BLOCK:
+                _read(block, field, files, out)
+                block, size = [], 0
+            block.append((i, at, piece))
+            size += len(piece) + 1
+    if block:
+        _read(block, field, files, out)
+    return out
+
+
+def _read(block: list[tuple[int, int, str]], field: Field, files: list[tuple[str, ...]], out: list[list[tuple]]) -> None:
+    tokens = Tokens([piece for _, _, piece in block])
+    if not len(tokens.start):
         return
-    words = [text[a:b] for a, b in spans]
-    line = np.searchsorted([m.start() for m in _NEWLINE.finditer(text)], [a for a, _ in spans])
-    live = field.bounds.live(words, line, file)
-    if not live.any():
+    at = np.flatnonzero(field.bounds.live(tokens, [files[i] for i, _, _ in block]))
+    if not len(at):
         return
-    at = np.flatnonzero(live)
-    for run in np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(line[at]) > 0)) + 1):
-        low, high = np.searchsorted(line, line[run[0]]), np.searchsorted(line, line[run[0]], "right")
-        yield spans[low:high], words[low:high], int(run[0] - low), int(run[-1] + 1 - low)
+    heads = np.cumsum([0] + [len(piece) + 1 for _, _, piece in block])
+    for run in np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(tokens.line[at]) > 0)) + 1):
+        low, high = int(run[0] - min(4, tokens.place[run[0]])), int(run[-1] + 1 + min(2, tokens.rest[run[-1]]))
+        k = tokens.doc[run[0]]
+        move = block[k][1] - int(heads[k])
+        spans = [(a + move, b + move) for a, b in zip(tokens.start[low:high].tolist(), tokens.end[low:high].tolist(), strict=True)]
+        out[block[k][0]].append((spans, tokens.words(slice(low, high)), int(run[0]) - low, int(run[-1]) + 1 - low))
+
+
+def stretches(text: str, field: Field, file: tuple[str, ...]) -> list[tuple]:
+    """The stretches of one text."""
+    return stretches_of([text], field, [file])[0]
 
 
 Span = tuple[int, int, int, int, int]
@@ -510,11 +713,16 @@ def base_spans(text: str) -> list[Span]:
     return out + [(m.start(), 2, m.end(), *m.span()) for m in HEX.finditer(text)]
 
 
-def all_spans(text: str, field: Field, patterns: bool = True) -> list[Span]:
-    """Spans of the patterns (none, where a text is known to hold none) and of the field."""
-    base = base_spans(text) if patterns else []
-    added, file = [], file_features(text)
-    for spans, words, first, stop in stretches(text, field, file):
+def all_spans(text: str, field: Field) -> list[Span]:
+    """Spans of the patterns and of the field."""
+    file = file_features(text)
+    return _with_field(base_spans(text), field, file, stretches(text, field, file))
+
+
+def _with_field(base: list[Span], field: Field, file: tuple[str, ...], runs: list[tuple]) -> list[Span]:
+    """Spans of the patterns and of the field, decoded on a text's stretches."""
+    added = []
+    for spans, words, first, stop in runs:
         last = None
         tags = field.decode([features(words, i, file) for i in range(first, stop)])
         for (start, end), tag in zip(spans[first:stop], tags, strict=True):
@@ -568,8 +776,9 @@ def _cued(text: str) -> bool:
 
 
 def _spans_of(column: pa.Array, field: Field) -> list[list[Span]]:
-    hot = suspects(column)
-    return [all_spans(text, field, bool(hot[i])) if text else [] for i, text in enumerate(column.to_pylist())]
+    hot, texts = suspects(column), [text or "" for text in column.to_pylist()]
+    files = [file_features(text) for text in texts]
+    return [_with_field(base_spans(text) if h else [], field, file, runs) for text, h, file, runs in zip(texts, hot, files, stretches_of(texts, field, files), strict=True)]
 
 
 def _joined(spans: list[Span]) -> str:
